@@ -116,7 +116,8 @@ def query_vector(spark, sf_dir, vec_id=0):
 
 
 def _encoded(column):
-    return F.base64(F.encode(column, "UTF-8"))
+    """Base64 on one line (Spark may break it into lines)."""
+    return F.regexp_replace(F.base64(F.encode(column, "UTF-8")), r"[\r\n]+", "")
 
 
 def _line(name, value):

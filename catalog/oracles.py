@@ -111,20 +111,23 @@ def _quoted(value):
     return "'" + value.replace("'", "''") + "'"
 
 
-def _replaced(steps, expression):
-    for pattern, replacement in steps:
-        expression = (
-            f"regexp_replace({expression}, {_quoted(pattern)}, {_quoted(replacement)}, 'g')"
-        )
-    return expression
+def _replaced(expression, pattern, replacement):
+    return f"regexp_replace({expression}, {_quoted(pattern)}, {_quoted(replacement)}, 'g')"
 
 
 def readable(expression):
     """SQL for the readable text of an HTML column (no numeric references)."""
-    expression = _replaced(t.MARKUP_STEPS, expression)
-    for entity, character in t.NAMED_ENTITIES.items():
-        expression = f"replace({expression}, {_quoted(entity)}, {_quoted(character)})"
-    return _replaced(t.LAYOUT_STEPS, f"replace({expression}, '&amp;', '&')")
+    for pattern, replacement in [
+        (t.SILENT, ""), (r"[\t\n\r\f]", " "), (t.BLOCK_TAG, "\n"), (t.ANY_TAG, ""),
+    ]:
+        expression = _replaced(expression, pattern, replacement)
+    for name, character in t.NAMED_ENTITIES.items():
+        expression = f"replace({expression}, '&{name};', {_quoted(character)})"
+    for pattern, replacement in [
+        (" +", " "), (" *\n[ \n]*", "\n"), ("^[ \n]+", ""), ("[ \n]+$", ""),
+    ]:
+        expression = _replaced(expression, pattern, replacement)
+    return expression
 
 
 def _emails(where="true", tail=""):

@@ -1,12 +1,9 @@
 """String expressions: all of them stay in the JVM."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
-# What counts as blank in HTML, which elements carry no readable
-# text, which start a new block, and the named character references resolved.
-BLANKS = r"[ \t\n\r\f]+"
+# Elements without readable text, elements that start a new block,
+# and the named character references that are resolved.
 SILENT_ELEMENTS = ["head", "script", "style", "noscript", "template", "title"]
 BLOCK_ELEMENTS = (
     "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer "
@@ -14,66 +11,68 @@ BLOCK_ELEMENTS = (
     "tbody td tfoot th thead tr ul"
 ).split()
 NAMED_ENTITIES = {
-    "&nbsp;": " ",
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&middot;": "·",
-    "&copy;": "©",
-    "&reg;": "®",
-    "&hellip;": "…",
-    "&ndash;": "–",
-    "&mdash;": "—",
-    "&euro;": "€",
+    "lt": "<",
+    "gt": ">",
+    "quot": '"',
+    "apos": "'",
+    "nbsp": " ",
+    "middot": "·",
+    "copy": "©",
+    "reg": "®",
+    "hellip": "…",
+    "ndash": "–",
+    "mdash": "—",
+    "euro": "€",
+    "amp": "&",  # last, so that no reference is resolved twice
 }
 
-# (pattern, replacement) steps that both Java and RE2 read the same way.
-MARKUP_STEPS = (
-    [(r"(?s)<!--.*?-->", "")]
-    + [(rf"(?is)<{e}\b[^>]*>.*?</{e}[ \t\n\r\f]*>", "") for e in SILENT_ELEMENTS]
-    + [
-        (BLANKS, " "),
-        (r"(?i)</?(" + "|".join(BLOCK_ELEMENTS) + r")\b[^>]*>", "\n"),
-        (r"</?[A-Za-z!?][^>]*>", ""),
-    ]
+# Patterns that Java and RE2 read alike. Each costs one pass over the text, so
+# they are few, and each begins with one fixed character to scan for.
+SILENT = (
+    r"(?is)<(?:!--.*?--|"
+    + "|".join(rf"{e}\b[^>]*>.*?</{e}\s*" for e in SILENT_ELEMENTS)
+    + ")>"
 )
-LAYOUT_STEPS = [(r" +", " "), (r" *\n[ \n]*", "\n"), (r"^[ \n]+", ""), (r"[ \n]+$", "")]
-
-
-def _apply(steps, column):
-    return reduce(lambda c, step: F.regexp_replace(c, step[0], step[1]), steps, column)
+BLOCK_TAG = r"(?i)</?(?:" + "|".join(BLOCK_ELEMENTS) + r")\b[^>]*>"
+ANY_TAG = r"</?[A-Za-z!?][^>]*>"
+NUMBER = r"^(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));"
 
 
-def _code_point(hex_digits):
-    return F.decode(F.unhex(F.lpad(hex_digits, 8, "0")), "UTF-32")
+def _resolved_numbers(column):
+    """Replace every ``&#233;`` or ``&#xe9;`` by its character.
 
+    The text is cut at the mark, so it is computed once however many it has.
+    """
 
-def _numeric_entities(column):
-    """Replace each distinct ``&#233;`` or ``&#xe9;`` by its character."""
-    found = F.array_distinct(
-        F.regexp_extract_all(column, F.lit(r"&#(?:[0-9]{1,6}|[xX][0-9a-fA-F]{1,5});"), F.lit(0))
-    )
-
-    def resolve(text, entity):
-        body = F.substring(entity, 3, 16)
-        digits = F.regexp_replace(body, "[xX;]", "")
-        code = F.when(F.lower(body).startswith("x"), digits).otherwise(
-            F.hex(digits.try_cast("bigint"))
+    def resolved(piece, position):
+        digits, hexes = (F.regexp_extract(piece, NUMBER, g) for g in (1, 2))
+        code = F.coalesce(
+            digits.try_cast("bigint"), F.conv(F.nullif(hexes, F.lit("")), 16, 10).cast("bigint")
+        )
+        # Half pairs and numbers beyond Unicode are no characters: left as written.
+        usable = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        utf32 = F.unhex(F.lpad(F.hex(F.when(usable, code).otherwise(63)), 8, "0"))
+        rest = F.regexp_replace(piece, NUMBER, "")
+        return (
+            F.when(position == 0, piece)
+            .when(usable, F.concat(F.decode(utf32, "UTF-32"), rest))
+            .otherwise(F.concat(F.lit("&#"), piece))
         )
-        return F.replace(text, entity, _code_point(code))
 
-    return F.when(column.contains("&#"), F.aggregate(found, column, resolve)).otherwise(column)
+    return F.array_join(F.transform(F.split(column, "&#"), resolved), "")
 
 
 def html_to_text(column):
     """Readable text of an HTML (or plain) body, one line per block."""
-    text = _apply(MARKUP_STEPS, column)
-    text = _numeric_entities(text)
-    for entity, character in NAMED_ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    text = F.replace(text, F.lit("&amp;"), F.lit("&"))
-    return _apply(LAYOUT_STEPS, text)
+    text = F.regexp_replace(column, SILENT, "")
+    text = F.translate(text, "\t\n\r\f", "    ")
+    text = F.regexp_replace(text, BLOCK_TAG, "\n")
+    text = _resolved_numbers(F.regexp_replace(text, ANY_TAG, ""))
+    for name, character in NAMED_ENTITIES.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(character))
+    lines = F.split(F.regexp_replace(text, " {2,}", " "), "\n")
+    lines = F.filter(F.transform(lines, lambda line: F.trim(line)), lambda line: line != "")
+    return F.array_join(lines, "\n")
 
 
 def ascii_text(binary):
