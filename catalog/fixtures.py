@@ -6,13 +6,13 @@
 
 import os
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mailspark.session import shared_dir
 
-# Documents per archive file: bounds both file size and the extent window.
+# Documents per archive file, and the room left for each in the table's extents.
 ARCHIVE_DOCS = 500
+SLOT = 10_000_000
 
 
 def table(spark, sf_dir, name):
@@ -44,6 +44,10 @@ def _archive_number():
     return F.expr(f"doc_id div {ARCHIVE_DOCS}")
 
 
+def _start():
+    return F.col("doc_id") % ARCHIVE_DOCS * SLOT
+
+
 def _mail(spark, sf_dir, **document_columns):
     """Documents with mail columns; texts are cut down before the join."""
     orders = table(spark, sf_dir, "orders").select(
@@ -63,14 +67,13 @@ def _mail(spark, sf_dir, **document_columns):
         _labels().alias("labels"),
         F.concat(F.lit("t"), (F.col("o_custkey") % 50).cast("string")).alias("thread_id"),
         _archive_number().alias("archive"),
+        F.concat(F.lit("archive-"), _archive_number().cast("string")).alias("mbox_file_id"),
         F.col("o_custkey").alias("customer"),
     )
 
 
 def emails(spark, sf_dir):
-    """The emails table: one message per document, extents within its archive."""
-    in_archive = Window.partitionBy("archive").orderBy("doc_id")
-    end = F.sum("n_chars").over(in_archive)
+    """The emails table: one message per document, a fixed slot of its archive each."""
     return _mail(
         spark,
         sf_dir,
@@ -87,9 +90,9 @@ def emails(spark, sf_dir):
         "has_attachment",
         "labels",
         F.lit("text/plain; charset=utf-8").alias("content_type"),
-        F.concat(F.lit("archive-"), F.col("archive").cast("string")).alias("mbox_file_id"),
-        (end - F.col("n_chars")).alias("email_start"),
-        end.alias("email_end"),
+        "mbox_file_id",
+        _start().alias("email_start"),
+        (_start() + F.col("n_chars")).alias("email_end"),
         "thread_id",
     )
 
@@ -126,11 +129,11 @@ def _line(name, value):
 
 
 def plain_messages(spark, sf_dir):
-    """(archive, doc_id, message): text mail with 8-bit bodies, as in a mail file.
+    """Text mail with 8-bit bodies, as in a mail file, keyed like the emails table.
 
     Body lines beginning with the message mark are left as they are.
     """
-    mail = _mail(spark, sf_dir, text=F.col("text"))
+    mail = _mail(spark, sf_dir, text=F.col("text"), n_chars=F.col("n_chars"))
     subject = F.translate(F.substring("text", 1, 40), "\n", " ")
     local = F.date_format(F.col("date") + F.expr("interval 2 hours"), "EEE, dd MMM yyyy HH:mm:ss")
     utc = F.date_format("date", "EEE, dd MMM yyyy HH:mm:ss")
@@ -150,7 +153,14 @@ def plain_messages(spark, sf_dir):
         F.lit("Content-Transfer-Encoding: 8bit\n\n"),
         F.col("text"),
     )
-    return mail.select("archive", "doc_id", message.alias("message"))
+    return mail.select(
+        "archive",
+        "doc_id",
+        "mbox_file_id",
+        _start().alias("email_start"),
+        (_start() + F.col("n_chars")).alias("email_end"),
+        message.alias("message"),
+    )
 
 
 def archive_files(spark, sf_dir):
@@ -226,12 +236,9 @@ def conversation_messages(spark, sf_dir):
 
 
 def plain_raw(spark, sf_dir):
-    """The plain messages as raw rows, keyed like the emails table."""
-    keyed = emails(spark, sf_dir).select("message_id", "mbox_file_id", "email_start", "email_end")
-    ids = table(spark, sf_dir, "documents").select("doc_id", _message_id().alias("message_id"))
-    raw = plain_messages(spark, sf_dir).select("doc_id", F.col("message").cast("binary").alias("raw"))
-    return raw.join(ids, "doc_id").join(keyed, "message_id").select(
-        "mbox_file_id", "email_start", "email_end", "raw"
+    """The plain messages as raw rows."""
+    return plain_messages(spark, sf_dir).select(
+        "mbox_file_id", "email_start", "email_end", F.col("message").cast("binary").alias("raw")
     )
 
 

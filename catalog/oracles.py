@@ -1,7 +1,7 @@
 """The same queries as SQL for DuckDB, written against the given tables."""
 
 from catalog import queries as q
-from catalog.fixtures import ARCHIVE_DOCS
+from catalog.fixtures import ARCHIVE_DOCS, SLOT
 from mailspark.functions import text as t
 from mailspark.operators import search as s
 
@@ -31,10 +31,10 @@ emails as (
   select message_id, subject, excerpt, from_email, to_email, date, has_attachment, labels,
     'text/plain; charset=utf-8' as content_type,
     concat('archive-', archive) as mbox_file_id,
-    cast(sum(n_chars) over w - n_chars as bigint) as email_start,
-    cast(sum(n_chars) over w as bigint) as email_end,
+    doc_id % {ARCHIVE_DOCS} * {SLOT} as email_start,
+    doc_id % {ARCHIVE_DOCS} * {SLOT} + n_chars as email_end,
     thread_id
-  from mail window w as (partition by archive order by doc_id)
+  from mail
 )"""
 
 # The text of each message as it stands in its mail file.
@@ -235,11 +235,10 @@ select md5(message) as raw_md5 from messages where message_id = '{q.LOOKUP_ID}'"
         "raw_message_batch": f"""with {MESSAGES},
 extents as (
   select *, concat('archive-', archive) as mbox_file_id,
-    cast(sum(n_chars) over w - n_chars as bigint) as email_start,
-    cast(sum(n_chars) over w as bigint) as email_end
-  from messages window w as (partition by archive order by doc_id)
+    doc_id % {ARCHIVE_DOCS} * {SLOT} as email_start
+  from messages
 )
-select mbox_file_id, email_start, email_end, md5(message) as raw_md5
+select mbox_file_id, email_start, email_start + n_chars as email_end, md5(message) as raw_md5
 from extents where list_contains(labels, 'Sent')""",
         "ingest_append_dedup": f"""with {EMAILS} select * replace (
   case when date < timestamp '{q.ADDED_SINCE}' then 'as first loaded' else excerpt end as excerpt)

@@ -87,7 +87,7 @@ def mbox_invalid_files(spark, sf_dir):
 def archive_fingerprint(spark, sf_dir):
     folder = fx.archive_files(spark, sf_dir)
     records = mbox.scan(spark, folder)
-    ids = mbox.fingerprints(spark, folder, records, mbox.split_index(records))
+    ids = mbox.fingerprints(spark, folder, records)
     return ids.select(fx.archive_of("path").alias("archive"), "mbox_file_id")
 
 

@@ -6,6 +6,8 @@ make one group of most of an archive, so it never is.
 
 from pyspark.sql import functions as F
 
+from mailspark.operators.search import point_lookup
+
 
 def _in_thread():
     return F.coalesce(F.col("thread_id"), F.lit("")) != ""
@@ -28,9 +30,13 @@ def threads_of_messages(emails, ids):
 
 
 def thread_of_message(emails, message_id):
-    """All members of the thread one message belongs to; empty if it has none."""
-    thread = emails.filter((F.col("message_id") == message_id) & _in_thread())
-    return emails.join(thread.select("thread_id").distinct(), "thread_id", "left_semi")
+    """All members of the thread one message belongs to; empty if it has none.
+
+    The thread id is a scalar subquery: found first, then filtered on like a
+    constant, so the table is neither shuffled nor joined.
+    """
+    thread_id = point_lookup(emails, message_id).select("thread_id").scalar()
+    return emails.filter(_in_thread() & (F.col("thread_id") == thread_id))
 
 
 def thread_sizes(emails):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailspark.operators import content, search, threads
+from mailspark.sources.mbox import find_raw_batch
 
 
 class MessageDetail(NamedTuple):
@@ -18,9 +19,7 @@ class MessageDetail(NamedTuple):
 
 def content_of(emails, raw):
     """Parsed content of some messages: the raw rows are picked before parsing."""
-    keys = ["mbox_file_id", "email_start", "email_end"]
-    picked = raw.join(emails.select(*keys), keys, "left_semi")
-    return content.contents(content.parse_messages(picked))
+    return content.contents(content.parse_messages(find_raw_batch(raw, emails)))
 
 
 def message_detail(emails, raw, message_id):
