@@ -7,6 +7,7 @@ how text is derived: those rules are column expressions over the parts.
 import email
 import email.policy
 import functools
+import re
 
 import pyarrow as pa
 
@@ -29,6 +30,23 @@ HEADERS = {
     "thread_text": "X-GM-THRID",
 }
 
+# Header values of these shapes mean what is written: the structured parser would
+# hand them back unchanged, at most of the cost of a whole parse. Dates are read
+# by ``header_timestamp`` in any case.
+_ATOM = r"[A-Za-z0-9!#$%&'*+/?^_`{|}~-]+"
+_ADDRESS = rf"{_ATOM}(?:\.{_ATOM})*@{_ATOM}(?:\.{_ATOM})*"
+_MAILBOX = rf"{_ADDRESS}|(?:{_ATOM} )+<{_ADDRESS}>"
+_WORDS = r"[!-<>-~]+(?: [!-<>-~]+)*"
+AS_WRITTEN = {
+    "message_id": re.compile(rf"<{_ADDRESS}>"),
+    "from_email": re.compile(_MAILBOX),
+    "to_email": re.compile(_MAILBOX),
+    "subject": re.compile(_WORDS),
+    "date_text": re.compile(r"[ -~]+"),
+    "labels_text": re.compile(_WORDS),
+    "thread_text": re.compile(_WORDS),
+}
+
 PART_TYPE = pa.struct(
     [
         ("depth", pa.int32()),
@@ -64,6 +82,19 @@ def _header(message, name):
         return _clean(next((v for k, v in message.raw_items() if k.lower() == name.lower()), None))
 
 
+def _headers(message):
+    written = {}
+    for name, value in message.raw_items():
+        written.setdefault(name.lower(), value)
+    row = {}
+    for column, name in HEADERS.items():
+        value, plain = written.get(name.lower()), AS_WRITTEN.get(column)
+        if value is not None and not (plain and plain.fullmatch(value)):
+            value = _header(message, name)
+        row[column] = value
+    return row
+
+
 def _attempt(step, failure):
     try:
         return step()
@@ -127,7 +158,7 @@ def _policy():
 def _message(raw, policy):
     try:
         message = email.message_from_bytes(raw, policy=policy)
-        row = {name: _header(message, header) for name, header in HEADERS.items()}
+        row = _headers(message)
         row["has_attachment"] = _attempt(lambda: len(list(message.iter_attachments())), lambda _: 0)
         row["parts"] = list(_walk(message))
         return row

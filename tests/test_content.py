@@ -1,9 +1,14 @@
 import base64
+import email
+import email.policy
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from mailspark import schemas
+from mailspark.functions import mime
 from mailspark.functions.text import ascii_text, html_to_text
 from mailspark.operators import content
 
@@ -169,3 +174,16 @@ def test_html_to_text(spark, html, text):
 def test_ascii_text(spark):
     frame = spark.createDataFrame([(bytearray("héllo".encode()),)], "b binary")
     assert frame.select(ascii_text(F.col("b")).alias("t")).first()["t"] == "hllo"
+
+
+@pytest.mark.parametrize("column", sorted(set(mime.AS_WRITTEN) - {"date_text"}))
+def test_plain_header_values_are_what_the_structured_parser_gives(column):
+    name = mime.HEADERS[column]
+
+    @settings(max_examples=60, deadline=None)
+    @given(st.from_regex(mime.AS_WRITTEN[column], fullmatch=True))
+    def check(value):
+        message = email.message_from_string(f"{name}: {value}\n\n", policy=email.policy.default)
+        assert str(message[name]) == value
+
+    check()
