@@ -33,6 +33,7 @@ SILENT = (
     + "|".join(rf"{e}\b[^>]*>.*?</{e}\s*" for e in SILENT_ELEMENTS)
     + ")>"
 )
+LINE_BREAKS = "\t\n\r\f"
 BLOCK_TAG = r"(?i)</?(?:" + "|".join(BLOCK_ELEMENTS) + r")\b[^>]*>"
 ANY_TAG = r"</?[A-Za-z!?][^>]*>"
 NUMBER = r"^(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));"
@@ -62,10 +63,10 @@ def _resolved_numbers(column):
     return F.array_join(F.transform(F.split(column, "&#"), resolved), "")
 
 
-def html_to_text(column):
-    """Readable text of an HTML (or plain) body, one line per block."""
+def _unmarked(column):
+    """Text with tags removed, one line per block, and references resolved."""
     text = F.regexp_replace(column, SILENT, "")
-    text = F.translate(text, "\t\n\r\f", "    ")
+    text = F.translate(text, LINE_BREAKS, " " * len(LINE_BREAKS))
     text = F.regexp_replace(text, BLOCK_TAG, "\n")
     text = _resolved_numbers(F.regexp_replace(text, ANY_TAG, ""))
     for name, character in NAMED_ENTITIES.items():
@@ -75,6 +76,19 @@ def html_to_text(column):
     return F.array_join(lines, "\n")
 
 
+def html_to_text(column):
+    """Readable text of an HTML (or plain) body, one line per block.
+
+    Most mail is plain text; where there is neither a tag nor a reference, only
+    blanks are to be tidied. Pass a column, not a costly expression: it is looked
+    at more than once.
+    """
+    plain = F.translate(column, LINE_BREAKS, " " * len(LINE_BREAKS))
+    plain = F.trim(F.regexp_replace(plain, " {2,}", " "))
+    marked = column.contains("<") | column.contains("&")
+    return F.when(marked, _unmarked(column)).otherwise(plain)
+
+
 def ascii_text(binary):
     """Bytes to text, leaving out every byte above 127."""
     return F.regexp_replace(F.decode(binary, "ISO-8859-1"), r"[^\x00-\x7F]", "")

@@ -63,13 +63,8 @@ def attachments(parts="parts"):
     )
 
 
-def index_text(content="body.content"):
-    """Plain text to index and to excerpt: that of the chosen body."""
-    return html_to_text(F.coalesce(F.col(content), F.lit("")))
-
-
-def direct_text(parts="parts"):
-    """The same from top-level parts only, glued together, binary ones as ASCII.
+def _direct_source(parts="parts"):
+    """Top-level parts glued together, binary ones as ASCII.
 
     A container among them, or text that cannot be decoded, empties the result.
     """
@@ -80,16 +75,22 @@ def direct_text(parts="parts"):
         F.transform(direct, lambda p: F.coalesce(p["content"], ascii_text(p["payload"]))), ""
     )
     unusable = F.exists(direct, lambda p: p["is_container"] | p["problem"].isNotNull())
-    return F.when(unusable, "").otherwise(html_to_text(glued))
+    return F.when(unusable, "").otherwise(glued)
 
 
 def contents(parsed, direct_parts=False):
-    """Parsed messages with body, attachments and text in place of the parts."""
+    """Parsed messages with body, attachments and text in place of the parts.
+
+    ``text`` is what to index and to excerpt: by default the text of the chosen
+    body, with ``direct_parts`` that of all top-level parts together.
+    """
     headers = [c for c in parsed.columns if c not in ("parts", "problem")]
+    chosen = F.coalesce("body.content", F.lit(""))
     return (
         parsed.withColumn("body", body())
         .withColumn("attachments", attachments())
-        .withColumn("text", direct_text() if direct_parts else index_text())
+        .withColumn("_source", _direct_source() if direct_parts else chosen)
+        .withColumn("text", html_to_text(F.col("_source")))
         .select(*headers, "body", "attachments", "text")
     )
 

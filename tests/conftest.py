@@ -8,7 +8,10 @@ from mailspark.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session(4, "tests", **{"spark.sql.shuffle.partitions": "4"})
+    session = build_session(4, "tests", **{
+        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.maxMetadataStringLength": "10000",
+    })
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
