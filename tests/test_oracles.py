@@ -6,9 +6,11 @@ import pytest
 
 import __spark_entry__ as driver
 import oracle_check
+from catalog import oracles
+from catalog import queries as registry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = registry.all_queries(), oracles.all_oracles()
 WITHOUT_SQL = {"semantic_lsh"}
 
 
