@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mailspark.llm import bpe, exact_dedup, language, neighbours, packing, pii, quality, sharding
+from mailspark.llm import bpe, exact_dedup, jaccard_join, language, neighbours, packing, pii, quality, sharding
 from mailspark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -36,6 +36,11 @@ def op3_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@registered
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard_join.links(table(spark, sf_dir, "documents"), 4, 85)
+
+
 @registered
 def op5_pii(spark, sf_dir):
     return pii.spans(table(spark, sf_dir, "documents"))
