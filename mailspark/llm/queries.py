@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mailspark.llm import bpe, exact_dedup, jaccard_join, language, neighbours, packing, pii, quality, sharding
+from mailspark.llm import bpe, exact_dedup, jaccard_join, language, neighbours, packing, pii, quality, sharding, suffix_dedup
 from mailspark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -56,6 +56,11 @@ def op7_neighbours(spark, sf_dir):
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@registered
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @registered
 def op9_language(spark, sf_dir):
     return language.predict(table(spark, sf_dir, "documents"))
