@@ -385,13 +385,18 @@ def remove_repeats(docs):
         "copies",
     )
     cuts = splitters(docs.filter("doc_id is not null").select("doc_id", "text"), n * BUCKETS)
-    held = docs.select("doc_id", "text").repartition(n, "doc_id")  # one exchange, read three times
-    single = held.filter("doc_id is not null").join(copies, F.col("doc_id") == F.col("doc"), "left_anti")
+    # one exchange, read three times; rows without an id stay out of it
+    held = docs.filter("doc_id is not null").select("doc_id", "text").repartition(n, "doc_id")
+    # an anti join would be moved below the exchange, which then couldn't be used again
+    single = held.join(copies, F.col("doc_id") == F.col("doc"), "left").filter("copy is null").select("doc_id", "text")
     keys = candidates(single, n).groupBy("doc").agg(F.collect_list("keys").alias("keys"))
     marked = held.join(keys, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "keys")
     spans = repeats(marked, cuts, n).groupBy("doc").agg(F.collect_list("spans").alias("spans"))
     found = held.join(spans, F.col("doc_id") == F.col("doc"), "left").drop("doc")
     found = found.join(copies, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans", "copy")
-    return found.mapInArrow(
+    nameless = docs.filter("doc_id is null").select(
+        "doc_id", "text", F.lit(None).cast("array<binary>").alias("spans"), F.lit(None).cast("boolean").alias("copy")
+    )
+    return found.union(nameless).mapInArrow(
         _result, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
