@@ -2,8 +2,8 @@
 
 Two linked sets share a shingle among the first few of each in any common order (the prefix). The
 order here is by hash, with very frequent shingles last; it only decides how much work there
-is. Documents that share a prefix shingle meet in the bucket of the smallest of them, once. Within
-a bucket a signature tree is built: every node holds the OR of its documents' token bitmaps and the
+is. Documents that share a prefix shingle, in order of their sizes, form runs without a gap too wide
+for a link; the first of a run names the bucket where they meet, once. Within a bucket a signature tree is built: every node holds the OR of its documents' token bitmaps and the
 range of their sizes. Traversing the tree against itself drops a pair of nodes when the
 largest possible overlap is too small, or when all their documents are connected already. What
 is left is compared set by set. Large buckets are split into blocks with the bucket's smallest
@@ -26,11 +26,11 @@ from mailspark.llm.common import MULTIPLIER, RollingHash, mixed, runs_of_rows, u
 from mailspark.llm.components import components
 
 CHUNK = 4_000_000
-#: Shingles in at least one of FREQUENT documents of a batch are counted, and the MOST_FREQUENT come last.
-FREQUENT, MOST_FREQUENT = 1000, 20_000
+#: Shingles in at least REPEATED documents of a batch are counted, and the MOST_FREQUENT come last.
+REPEATED, MOST_FREQUENT = 3, 200_000
 #: A block holds about so many shingles.
 BLOCK = 2_000_000
-LEAF = 4
+LEAF = 32
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -157,11 +157,16 @@ class SignatureTree:
         return out
 
     def compare(self, a, b, c, d):
-        for i in range(a, b):
-            for j in range(max(c, i + 1), d):
-                x, y = self.component[i], self.component[j]
-                if x != y and linked(self.sets[i], self.sets[j], self.percent):
-                    self.component[self.component == max(x, y)] = min(x, y)
+        """Test the pairs of two leaves whose own bitmaps and sizes allow a link."""
+        common = np.bitwise_count(self.maps[a:b, None, :] & self.maps[None, c:d, :]).sum(axis=2, dtype=np.int64)
+        common += np.minimum(self.excess[a:b, None], self.excess[None, c:d])
+        total = self.sizes[a:b, None] + self.sizes[None, c:d]
+        able = (100 + self.percent) * common >= self.percent * total
+        able &= self.component[a:b, None] != self.component[None, c:d]
+        for i, j in zip(*(at.tolist() for at in np.nonzero(able)), strict=True):
+            x, y = self.component[a + i], self.component[c + j]
+            if x != y and linked(self.sets[a + i], self.sets[c + j], self.percent):
+                self.component[self.component == max(x, y)] = min(x, y)
 
 
 def described(docs, words, percent):
@@ -170,11 +175,10 @@ def described(docs, words, percent):
 
     def count(batches):
         for batch in batches:
-            least = max(8, batch.num_rows // FREQUENT)
             sets = batch_sets(batch.column(1), words)
             parts = [s[: 2 * prefix_length(len(s), percent)] for s in sets if len(s)]
             tokens, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64),) * 2
-            often = n >= least
+            often = n >= REPEATED
             yield pa.RecordBatch.from_arrays(
                 [pa.array(tokens[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"]
             )
@@ -184,7 +188,7 @@ def described(docs, words, percent):
     last = np.sort(frequent["token"].to_numpy().view(np.uint64)) if frequent.num_rows else np.zeros(0, np.uint64)
 
     def prefix(own):
-        late = np.isin(own, last) if len(last) else np.zeros(len(own), bool)
+        late = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own if len(last) else np.zeros(len(own), bool)
         return np.concatenate((own[~late], own[late]))[: prefix_length(len(own), percent)]
 
     def describe(batches):
@@ -216,26 +220,33 @@ def described(docs, words, percent):
 
 def _tokens(batches):
     for batch in batches:
-        ids, blobs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        ids, sizes, blobs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
         counts = np.array([len(b) // 8 for b in blobs], np.int64)
+        token = np.frombuffer(b"".join(blobs), np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.frombuffer(b"".join(blobs), np.int64)), pa.array(np.repeat(ids, counts))], ["token", "doc"]
+            [pa.array(token), pa.array(np.repeat(sizes, counts)), pa.array(np.repeat(ids, counts))], ["token", "n", "doc"]
         )
 
 
-def _meetings(batches):
-    """(pivot, doc) for each document that shares a token with a smaller one, from rows in order."""
-    last, pivot = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        token, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.concatenate(([last is None or token[0] != last], token[1:] != token[:-1]))
-        first = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
-        pivots = np.where(first >= 0, doc[np.maximum(first, 0)], doc[0] if pivot is None else pivot)
-        last, pivot = token[-1], pivots[-1]
-        live = pivots != doc
-        yield pa.RecordBatch.from_arrays([pa.array(pivots[live]), pa.array(doc[live])], ["pivot", "doc"])
+def meetings(percent):
+    """(pivot, doc) for the documents of a run after its first, from rows ordered by token, size and document."""
+
+    def run(batches):
+        token, size, pivot = None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens, sizes, docs = (batch.column(i).to_numpy() for i in range(3))
+            new = np.ones(len(docs), bool)
+            new[1:] = (tokens[1:] != tokens[:-1]) | (100 * sizes[:-1] < percent * sizes[1:])
+            new[0] = token is None or tokens[0] != token or 100 * size < percent * sizes[0]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(docs)), -1))
+            pivots = np.where(first >= 0, docs[np.maximum(first, 0)], docs[0] if pivot is None else pivot)
+            token, size, pivot = tokens[-1], sizes[-1], pivots[-1]
+            live = pivots != docs
+            yield pa.RecordBatch.from_arrays([pa.array(pivots[live]), pa.array(docs[live])], ["pivot", "doc"])
+
+    return run
 
 
 def grouped_rows(batches, keys):
@@ -288,14 +299,14 @@ def links(docs, words, percent):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = written(described(docs, words, percent), "sets")
     bearers = sets.filter("prefix is not null")
-    tokens = bearers.select("doc_id", "prefix").mapInArrow(_tokens, "token long, doc long")
-    ordered = tokens.repartition(n, "token").sortWithinPartitions("token", "doc")
-    met = written(ordered.mapInArrow(_meetings, "pivot long, doc long").distinct(), "met")
+    tokens = bearers.select("doc_id", "n_shingles", "prefix").mapInArrow(_tokens, "token long, n long, doc long")
+    ordered = tokens.repartition(n, "token").sortWithinPartitions("token", "n", "doc")
+    met = written(ordered.mapInArrow(meetings(percent), "pivot long, doc long").distinct(), "met")
     both = met.union(met.select("pivot", F.col("pivot").alias("doc")).distinct())
     sizes = bearers.select(F.col("doc_id").alias("doc"), "n_shingles").dropDuplicates(["doc"])
     weights = met.join(sizes, "doc").groupBy("pivot").agg(F.sum("n_shingles").alias("weight"))
     blocks = written(weights.select("pivot", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks")), "blocks")
-    texts = docs.filter("text is not null").select(F.col("doc_id").alias("doc"), "text").dropDuplicates(["doc"])
+    texts = docs.filter("text is not null").select(F.col("doc_id").alias("doc"), "text")
 
     # the pivot is in every block of its bucket
     pivots = blocks.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
