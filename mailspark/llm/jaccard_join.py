@@ -5,8 +5,9 @@ order here is by hash, with very frequent shingles last; it only decides how muc
 is. Documents that share a prefix shingle, in order of their sizes, form runs without a gap too wide
 for a link; the first of a run names the bucket where they meet, once. Within a bucket a signature tree is built: every node holds the OR of its documents' token bitmaps and the
 range of their sizes. Traversing the tree against itself drops a pair of nodes when the
-largest possible overlap is too small, or when all their documents are connected already. What
-is left is compared set by set. Large buckets are split into blocks with the bucket's smallest
+largest possible overlap is too small, or when all their documents are connected already. This runs
+first on stored bitmaps, so that texts move only where a link is possible, and again with the texts,
+where what is left is compared set by set. Large buckets are split into blocks with the bucket's smallest
 document in each: documents linked to it are connected, and only the others are then compared
 with all blocks.
 
@@ -30,6 +31,8 @@ CHUNK = 4_000_000
 REPEATED, MOST_FREQUENT = 3, 200_000
 #: A block holds about so many shingles.
 BLOCK = 2_000_000
+#: Bits of the bitmaps that decide which texts are compared at all.
+BITS = 2048
 LEAF = 32
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -90,22 +93,27 @@ def linked(a, b, percent):
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def bitmaps(sets, bits):
+    """Bitmaps of the elements' low bits as rows of 64-bit words, and the elements beyond one for each bit."""
+    maps = np.zeros((len(sets), bits), bool)
+    for i, s in enumerate(sets):
+        maps[i, (s & np.uint64(bits - 1)).astype(np.int64)] = True
+    excess = np.array([len(s) for s in sets], np.int64) - maps.sum(axis=1)
+    return np.packbits(maps, axis=1).view(np.uint64), excess
+
+
 class SignatureTree:
-    """A binary tree over sets, joined with itself; ``component`` labels are merged by the links found."""
+    """A binary tree over documents of which sizes and bitmaps are known, joined with itself.
+
+    ``component`` labels are merged by the pairs that pass ``test(i, j)``, or without a test by all
+    pairs that their bitmaps and sizes allow.
+    """
 
-    def __init__(self, sets, component, percent):
-        order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), sets[i][0] if len(sets[i]) else 0))
-        self.order, self.percent = order, percent
-        self.sets = [sets[i] for i in order]
+    def __init__(self, sizes, maps, excess, component, percent, test=None):
+        self.order = order = np.lexsort((component, sizes))
+        self.sizes, self.maps, self.excess = np.asarray(sizes)[order], maps[order], np.asarray(excess)[order]
         self.component = np.asarray(component)[order].copy()
-        self.sizes = np.array([len(s) for s in self.sets], np.int64)
-        bits = 1 << max(8, min(16, int(2 * max(1, self.sizes.max())).bit_length()))
-        maps = np.zeros((len(sets), bits), bool)
-        for i, s in enumerate(self.sets):
-            maps[i, (s & np.uint64(bits - 1)).astype(np.int64)] = True
-        self.excess = self.sizes - maps.sum(axis=1)  # elements beyond one for each bit
-        self.maps = np.packbits(maps, axis=1).view(np.uint64)
-        self.nodes = {}
+        self.percent, self.test, self.nodes = percent, test, {}
 
     def node(self, low, high):
         """(OR of bitmaps, least size, largest size, largest excess)."""
@@ -136,7 +144,7 @@ class SignatureTree:
 
     def join(self):
         """Component label of each set, in the given order."""
-        stack = [(0, len(self.sets), 0, len(self.sets))]
+        stack = [(0, len(self.sizes), 0, len(self.sizes))]
         while stack:
             a, b, c, d = stack.pop()
             if self.connected(a, b, c, d) or not self.possible(self.node(a, b), self.node(c, d)):
@@ -165,12 +173,12 @@ class SignatureTree:
         able &= self.component[a:b, None] != self.component[None, c:d]
         for i, j in zip(*(at.tolist() for at in np.nonzero(able)), strict=True):
             x, y = self.component[a + i], self.component[c + j]
-            if x != y and linked(self.sets[a + i], self.sets[c + j], self.percent):
+            if x != y and (self.test is None or self.test(self.order[a + i], self.order[c + j])):
                 self.component[self.component == max(x, y)] = min(x, y)
 
 
 def described(docs, words, percent):
-    """(doc_id, n_shingles, digest, prefix): the prefix is null for all but one copy in a batch."""
+    """(doc_id, n_shingles, digest, prefix, bits): the last two are null for all but one copy in a batch."""
     source = docs.select("doc_id", "text")
 
     def count(batches):
@@ -194,7 +202,7 @@ def described(docs, words, percent):
     def describe(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            sizes, digests, bearer, prefixes = [], [], {}, [None] * len(ids)
+            sizes, digests, bearer, prefixes, maps = [], [], {}, [None] * len(ids), [None] * len(ids)
             for i, own in enumerate(batch_sets(batch.column(1), words)):
                 sizes.append(len(own))
                 if not len(own) or ids[i] is None:
@@ -207,15 +215,16 @@ def described(docs, words, percent):
                 held = bearer.get(digests[i])
                 if held is None or ids[i] < ids[held]:
                     if held is not None:
-                        prefixes[held] = None
+                        prefixes[held] = maps[held] = None
                     bearer[digests[i]] = i
                     prefixes[i] = prefix(own).tobytes()
+                    maps[i] = bitmaps([own], BITS)[0].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary())],
-                ["doc_id", "n_shingles", "digest", "prefix"],
+                [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(c, pa.binary()) for c in (digests, prefixes, maps))],
+                ["doc_id", "n_shingles", "digest", "prefix", "bits"],
             )
 
-    return source.mapInArrow(describe, "doc_id long, n_shingles long, digest binary, prefix binary")
+    return source.mapInArrow(describe, "doc_id long, n_shingles long, digest binary, prefix binary, bits binary")
 
 
 def _tokens(batches):
@@ -271,6 +280,33 @@ def grouped_rows(batches, keys):
         yield pa.Table.from_batches(waiting)
 
 
+def joined_sets(sets, component, percent):
+    """The component labels after an exact join of the sets."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    maps, excess = bitmaps(sets, 1 << max(8, min(16, int(2 * max(1, sizes.max())).bit_length())))
+    test = lambda i, j: linked(sets[i], sets[j], percent)
+    return SignatureTree(sizes, maps, excess, component, percent, test).join()
+
+
+def possible_links(rows, percent):
+    """(pivot, doc) for the documents that a bitmap allows to be linked, in parts of a bucket; from
+    rows (pivot, doc, n_shingles, bits) of whole buckets."""
+
+    def run(batches):
+        for table in grouped_rows(batches, 1):
+            docs, sizes = table["doc"].to_numpy(), table["n_shingles"].to_numpy()
+            maps = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(docs), -1)
+            excess = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+            label = SignatureTree(sizes, maps, excess, docs, percent).join()
+            _, at, many = np.unique(label, return_inverse=True, return_counts=True)
+            live = many[at] > 1
+            yield pa.RecordBatch.from_arrays([pa.array(label[live]), pa.array(docs[live])], ["pivot", "doc"])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("pivot", "doc", "n_shingles", "bits").repartition(n, "pivot").sortWithinPartitions("pivot", "doc")
+    return dealt.mapInArrow(run, "pivot long, doc long").distinct()
+
+
 def join_buckets(rows, texts, words, percent):
     """(pivot, doc, root) for rows (pivot, block, doc, root), all rows of a block compared.
 
@@ -282,12 +318,13 @@ def join_buckets(rows, texts, words, percent):
             docs = table["doc"].to_numpy()
             text = table["text"].combine_chunks()
             text = text if isinstance(text, pa.Array) else text.chunk(0)
-            roots = SignatureTree(batch_sets(text, words), table["root"].to_numpy(), percent).join()
+            roots = joined_sets(batch_sets(text, words), table["root"].to_numpy(), percent)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(table["pivot"].to_numpy()), pa.array(docs), pa.array(roots)], ["pivot", "doc", "root"]
             )
 
-    held = rows.join(texts, "doc").select("pivot", "block", "doc", "root", "text")
+    # the hint keeps the plan the same at every size
+    held = rows.join(texts.hint("merge"), "doc").select("pivot", "block", "doc", "root", "text")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = held.repartition(n, "pivot", "block").sortWithinPartitions("pivot", "block", "doc")
     return dealt.mapInArrow(run, "pivot long, doc long, root long")
@@ -308,12 +345,16 @@ def links(docs, words, percent):
     blocks = written(weights.select("pivot", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks")), "blocks")
     texts = docs.filter("text is not null").select(F.col("doc_id").alias("doc"), "text")
 
-    # the pivot is in every block of its bucket
-    pivots = blocks.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    others = met.join(blocks, "pivot").select(
+    # whole buckets lose the documents that no bitmap allows a link; the pivot is in every block of a split one
+    small = both.join(blocks.filter("blocks = 1"), "pivot")
+    bits = bearers.select(F.col("doc_id").alias("doc"), "n_shingles", "bits")
+    able = written(possible_links(small.join(bits.hint("merge"), "doc"), percent), "able")
+    pivots = blocks.filter("blocks > 1").select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    others = met.join(blocks.filter("blocks > 1"), "pivot").select(
         "pivot", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), "doc"
     )
     rows = others.union(pivots.select("pivot", "block", F.col("pivot").alias("doc")))
+    rows = rows.union(able.select("pivot", F.lit(-1).alias("block"), "doc"))
     first = written(join_buckets(rows.withColumn("root", F.col("doc")), texts, words, percent), "joined")
     edges = first.select("doc", "root")
 

@@ -78,8 +78,9 @@ def statistics(data, starts, ends):
     def mean(values):
         return np.bincount(owner, weights=values, minlength=len(starts)) / some
 
-    same_doc = np.concatenate(([False], owner[1:] == owner[:-1]))
-    repeated = same_doc & np.concatenate(([False], words[1:] == words[:-1]))
+    same_doc, repeated = np.zeros(len(owner), bool), np.zeros(len(owner), bool)
+    same_doc[1:] = owner[1:] == owner[:-1]
+    repeated[1:] = same_doc[1:] & (words[1:] == words[:-1])
     pairs = words + np.roll(words, 1) * np.uint64(0x9E3779B97F4A7C15)
 
     def distinct(values, rows):
