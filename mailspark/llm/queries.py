@@ -84,13 +84,13 @@ _ORACLES = {
         with rows as (
             select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as digest
             from documents),
-        middle as (select (min(doc_id) + max(doc_id)) // 2 as at from documents)
+        middle as (select (min(doc_id) + max(doc_id)) // 2 as half from documents)
         select doc_id,
                min(doc_id) over (partition by digest) as keep_id,
                count(*) over (partition by digest) as group_size,
                doc_id = min(doc_id) over (partition by digest) as kept,
                digest as text_sha256,
-               min(doc_id) over (partition by digest) <= (select at from middle) as in_history
+               min(doc_id) over (partition by digest) <= (select half from middle) as in_history
         from rows
     """,
 }
