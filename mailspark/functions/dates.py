@@ -2,6 +2,7 @@
 
 from email.utils import parsedate_to_datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
@@ -22,12 +23,14 @@ def _lenient_date(texts: pd.Series) -> pd.Series:
             moment = parsedate_to_datetime(text)
             if moment.tzinfo is not None:
                 moment = (moment - moment.utcoffset()).replace(tzinfo=None)
-            return pd.Timestamp(moment)
+            return np.datetime64(moment, "us")
         except (TypeError, ValueError, OverflowError):
-            return pd.NaT
+            return np.datetime64("NaT", "us")
 
+    # microseconds hold all years that a header can name, nanoseconds don't
     distinct = {text: parse(text) for text in texts.dropna().unique()}
-    return pd.to_datetime(texts.map(distinct))
+    moments = [distinct.get(text, np.datetime64("NaT", "us")) for text in texts]
+    return pd.Series(np.array(moments, "datetime64[us]"), index=texts.index)
 
 
 def header_timestamp(column, lenient=True):

@@ -187,3 +187,17 @@ def test_plain_header_values_are_what_the_structured_parser_gives(column):
         assert str(message[name]) == value
 
     check()
+
+
+def test_dates_out_of_the_nanosecond_range(spark):
+    from pyspark.sql import functions as F
+
+    from mailspark.functions.dates import header_timestamp
+
+    texts = ["Mon, 1 Jan 1500 12:00:00 EST", "Fri, 31 Dec 9999 23:59:59 EST", "no date", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        "text", header_timestamp(F.col("text")).cast("string").alias("at")
+    )
+    found = {r["text"]: r["at"] for r in rows.collect()}
+    assert found["Mon, 1 Jan 1500 12:00:00 EST"] == "1500-01-01 17:00:00"
+    assert found["no date"] is None and found[None] is None
