@@ -87,6 +87,14 @@ def _small(hits, n):
     return F.broadcast(hits) if n <= HITS_TO_BROADCAST else hits
 
 
+def near_ids(vectors, query, n=RESULTS, max_distance=MAX_DISTANCE):
+    """(message_id, dist) of the ids among the n nearest that are also near enough, each once."""
+    if query is None:
+        return vectors.limit(0).select("message_id", F.lit(None).cast("double").alias("dist"))
+    hits = nearest(vectors, query, n).filter(F.col("dist") < max_distance)
+    return hits.groupBy("message_id").agg(F.min("dist").alias("dist"))
+
+
 def semantic_search(emails, vectors, query, n=RESULTS, max_distance=MAX_DISTANCE):
     """Messages among the n nearest that are also near enough, nearest first.
 

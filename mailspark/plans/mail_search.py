@@ -46,8 +46,8 @@ def search_mail(
         total = chosen.agg(F.count_distinct("message_id").alias("total_count"))
         return SearchResult(rows, search.page_meta(total, page, page_size))
 
-    hits = semantic.semantic_search(emails, vectors, embed(question), n_results, max_distance)
-    hits = hits.select("message_id", "dist")
+    # one row for each id near enough; joining with the mail once lists every message with that id
+    hits = semantic.near_ids(vectors, embed(question), n_results, max_distance)
     small = F.broadcast if n_results <= semantic.HITS_TO_BROADCAST else (lambda frame: frame)
     by_distance = [F.col("dist"), F.col("message_id")]
     if mode == "slice_first":

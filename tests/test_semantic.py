@@ -110,3 +110,13 @@ def test_rerank(spark):
 def test_overlap_of_nothing_is_zero(spark):
     frame = spark.createDataFrame([(" ", "")], "a string, b string")
     assert frame.select(token_overlap(tokens(F.col("a")), tokens(F.col("b"))).alias("s")).first()["s"] == 0.0
+
+
+def test_hybrid_search_lists_repeated_ids_once_each(spark, emails_of):
+    from mailspark.plans.mail_search import search_mail
+
+    mail = emails_of(*[{"message_id": "<r@x>", "email_start": 100 * i} for i in range(3)])
+    vectors = spark.createDataFrame([("<r@x>", [1.0, 0.0])] * 3, "message_id string, vec array<float>")
+    found = search_mail(mail, "rag:anything", vectors=vectors, embed=lambda text: [1.0, 0.0])
+    assert found.page.count() == 3
+    assert found.meta.first()["total_count"] == 1
