@@ -35,6 +35,18 @@ def per_process(name, make):
     return held[name]
 
 
+def rows_by_id(docs, ids, how):
+    """The rows of ``docs`` whose doc_id is ("left_semi") or isn't ("left_anti") among ``ids``; null equals null.
+
+    The joined column gets a name that no column of ``docs`` has.
+    """
+    taken, name = {c.lower() for c in docs.columns}, "_id"
+    while name in taken:
+        name += "_"
+    found = ids.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(name)), how)
+
+
 def partitions(spark):
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from mailspark.llm.common import mixed, written
+from mailspark.llm.common import mixed, rows_by_id, written
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 BUCKET = 50_000
@@ -182,6 +182,5 @@ def dedup(docs):
 
 
 def distinct_documents(docs):
-    """The documents that stay, with all their columns."""
-    kept = dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """The documents that stay, with all their columns; rows without an id can't be told apart, so all stay if one does."""
+    return rows_by_id(docs, dedup(docs).filter("kept"), "left_semi")

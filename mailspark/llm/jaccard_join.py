@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from mailspark.llm.common import MULTIPLIER, RollingHash, mixed, runs_of_rows, utf8_batch, written
+from mailspark.llm.common import MULTIPLIER, RollingHash, mixed, rows_by_id, runs_of_rows, utf8_batch, written
 from mailspark.llm.components import components
 
 CHUNK = 4_000_000
@@ -389,6 +389,5 @@ def links(docs, words, percent):
 
 
 def representatives(docs, words, percent):
-    """The documents that are the smallest of their component, with all their columns."""
-    kept = links(docs, words, percent).filter("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    """The documents that are the smallest of their component, with all their columns; rows without an id stay."""
+    return rows_by_id(docs, links(docs, words, percent).filter("component_id <> doc_id"), "left_anti")

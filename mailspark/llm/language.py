@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mailspark.llm.bpe import LETTER, character_classes
-from mailspark.llm.common import per_process, runs_of_rows
+from mailspark.llm.common import per_process, rows_by_id, runs_of_rows
 
 CELLS = 1 << 15
 SEGMENT, ROUNDS, LARGEST_SET, CHUNK = 48, 10, 3, 2_000_000
@@ -152,6 +152,5 @@ def predict(docs):
 
 
 def with_language(docs):
-    """The documents in which a language is found; rows without letters go."""
-    found = predict(docs).filter(F.col("lang_pred") != UNDETERMINED).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_semi")
+    """The documents in which a language is found; rows without letters go (those without an id only together)."""
+    return rows_by_id(docs, predict(docs).filter(F.col("lang_pred") != UNDETERMINED), "left_semi")

@@ -11,6 +11,8 @@ import pytest
 from mailspark.llm import (
     bpe, exact_dedup, jaccard_join, language, neighbours, packing, pii, quality, sharding, suffix_dedup,
 )
+from pyspark.sql import functions as F
+
 from mailspark.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, bucket int, row string"
@@ -187,6 +189,24 @@ def test_jaccard_join(spark, docs, none, monkeypatch, block):
         assert jaccard_join.links(none, 4, 85).collect() == []
 
 
+def test_near_copies_leave_rows_without_an_id(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = spark.createDataFrame([(None, text, "a"), (1, text, "b"), (2, text, "c"), (None, None, "d")], "doc_id long, text string, _gone string")
+    rows = rows.withColumnRenamed("_gone", "_id").withColumn("lang", F.lit("en"))
+    kept = jaccard_join.representatives(rows, 5, 80).collect()
+    assert sorted(r["_id"] for r in kept) == ["a", "b", "d"]
+    assert sorted(r["_id"] for r in exact_dedup.distinct_documents(rows).collect()) == ["a", "b", "d"]
+    assert sorted(r["_id"] for r in language.with_language(rows).filter("doc_id is not null").collect()) == ["b", "c"]
+
+
+def test_sharding_spreads_a_group_over_salts(spark):
+    rows = spark.createDataFrame([(i, "same" if i % 3 else f"own {i}") for i in range(900)], "doc_id long, text string")
+    numbered, total = sharding.numbered(rows)
+    links = sharding.equal_text_links(numbered, total, 4).toPandas()
+    assert len(links) == 600 and links["row"].is_unique
+    assert links.groupby("hub").size().max() <= 2 * total // (4 * sharding.PART_OF_QUOTA)
+
+
 def test_pii(docs, none):
     found = rows_of(pii.spans(docs))
     assert (found[10].n_email, found[10].n_ip, found[10].n_card, found[10].n_phone) == (1, 1, 1, 1)
