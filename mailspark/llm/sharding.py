@@ -21,6 +21,8 @@ from mailspark.llm.common import gapless_rank, written
 SHARDS, ROUNDS = 24, 4
 #: A hub has at most this part of a shard's rows; a lane at most so many rows.
 PART_OF_QUOTA, LANE, BUCKET = 4, 200_000, 100_000
+#: A group of equal texts is looked up in at least so many parts.
+SALTS = 64
 LAW = "rows"
 
 
@@ -40,11 +42,17 @@ def numbered(docs):
 
 
 def equal_text_links(rows, total, shards):
-    """(row, hub) for rows whose text occurs again."""
+    """(row, hub) for rows whose text occurs again.
+
+    Rows meet the size of their group by digest and salt, so a large group lies in as many tasks as salts.
+    """
     most = max(2, total // (shards * PART_OF_QUOTA))
-    groups = rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
-    part = F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / most).cast("int"))
-    return rows.join(groups, "digest").select("row", F.xxhash64("digest", part).alias("hub"))
+    salted = rows.select("row", "digest", F.pmod(F.xxhash64("row"), F.lit(SALTS + total // LANE)).alias("salt"))
+    held = salted.groupBy("digest", "salt").agg(F.count("*").alias("here"))
+    groups = held.groupBy("digest").agg(F.sum("here").alias("n")).filter("n > 1")
+    sizes = held.join(groups, "digest").select("digest", "salt", "n")
+    part = F.pmod(F.xxhash64("row", F.lit(1)), F.ceil(F.col("n") / most).cast("int"))
+    return salted.join(sizes, ["digest", "salt"]).select("row", F.xxhash64("digest", part).alias("hub"))
 
 
 def _number(frame, *keys):
