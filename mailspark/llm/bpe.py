@@ -28,9 +28,9 @@ WHITE_SPACE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B
 #: Endings that are cut off after an apostrophe.
 CONTRACTIONS = re.compile("(?:[stmd]|re|ve|ll)")
 #: Text is laid out so many characters at a time; words are encoded so many characters at a time.
-CHUNK, BLOCK = 4_000_000, 32_000_000
+CHUNK, BLOCK = 1_000_000, 12_000_000
 #: Encoded words that a task remembers from block to block.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 NONE = np.iinfo(np.int64).max
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from mailspark.llm.common import MULTIPLIER, RollingHash, mixed, rows_by_id, runs_of_rows, utf8_batch, written
 from mailspark.llm.components import components
 
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 #: Shingles in at least REPEATED documents of a batch are counted, and the MOST_FREQUENT come last.
 REPEATED, MOST_FREQUENT = 3, 200_000
 #: A block holds about so many shingles.

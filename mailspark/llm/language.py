@@ -19,7 +19,7 @@ from mailspark.llm.bpe import LETTER, character_classes
 from mailspark.llm.common import per_process, rows_by_id, runs_of_rows
 
 CELLS = 1 << 15
-SEGMENT, ROUNDS, LARGEST_SET, CHUNK = 48, 10, 3, 2_000_000
+SEGMENT, ROUNDS, LARGEST_SET, CHUNK = 48, 10, 3, 500_000
 #: Cost of one more language: this many nats, and as many times the log of the segments.
 PENALTY = 3.0
 UNDETERMINED = "und"

@@ -29,7 +29,7 @@ TO_POOLED, TO_IDENTITY = 0.3, 0.05
 #: Log-density differences are divided by this before the logistic, against overconfidence.
 TEMPERATURE = 4.0
 THRESHOLD = 0.7
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 UPPER, DIGIT, STOP, COMMA, MARK, SYMBOL, SPACE, NEWLINE, HIGH = range(1, 10)
 
 
