@@ -211,8 +211,19 @@ from records""",
         "mbox_invalid_files": f"""select archive from (
   select doc_id // {ARCHIVE_DOCS} as archive, arg_min(text, doc_id) as head
   from documents group by 1) where not starts_with(head, 'From ')""",
-        "archive_fingerprint": f"""with {RECORDS}
-select archive, sha256(content) as mbox_file_id from files""",
+        "archive_fingerprint": f"""with {RECORDS},
+placed as (
+  select archive, size, case when pos = 0 then 0 else pos - 5 end as email_start, sha256(value) as digest
+  from records),
+marked as (
+  select archive, size, sha256(concat_ws(':', cast(cast(email_start as bigint) as varchar), digest)) as mark from placed)
+select archive, sha256(concat_ws(':', cast(max(size) as varchar), cast(count(*) as varchar),
+  {", ".join(f"cast(sum(cast('0x' || substr(mark, {at}, 15) as bigint)) as varchar)" for at in (1, 16, 31))})) as mbox_file_id
+from marked group by archive""",
+        "ingest_twice": f"""with {RECORDS}
+select name, case when name in ('raw_messages', 'contents') then (select count(*) from records)
+  else (select count(*) from messages) end as n
+from (select unnest(['emails', 'documents', 'embeddings', 'raw_messages', 'contents']) as name)""",
         "ingest_emails": f"""with {LOADED}
 select message_id, replace(substr(text, 1, 40), chr(10), ' ') as subject,
   substr({readable("kept")}, 1, 30) as excerpt, from_email, date, 0 as has_attachment,

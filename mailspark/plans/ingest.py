@@ -25,20 +25,26 @@ def _written(frame, path):
 def indexed_archive(spark, paths):
     """(records, index with file ids, number of splits) of some mbox files.
 
-    The index is a small written table: it is used more than once. Of files with
-    equal content only the first counts.
+    The index is a small written table: it is used more than once.
     """
     records = mbox.scan(spark, paths)
     folder = shared_dir(spark, "index")
     index = _written(mbox.split_index(records), os.path.join(folder, "splits"))
     count = index.count()
-    ids = mbox.fingerprints(spark, paths, records, index, count)
-    ids = ids.groupBy("mbox_file_id").agg(F.min("path").alias("path"))
-    index = index.join(ids, "path", "left")
-    index = index.withColumn("is_valid", F.col("is_valid") & F.col("mbox_file_id").isNotNull())
+    index = index.join(mbox.fingerprints(records, index, count), "path", "left")
     return records, _written(index, os.path.join(folder, "files")), count
 
 
+def _to_load(index, loaded):
+    """The index with only those files valid that aren't loaded; of files with equal content the first."""
+    first = index.filter("is_valid").groupBy("mbox_file_id").agg(F.min("path").alias("first_path"))
+    if loaded is not None:
+        first = first.join(loaded.select("mbox_file_id").distinct(), "mbox_file_id", "left_anti")
+    fresh = first.select(F.col("first_path").alias("path"), F.lit(True).alias("fresh"))
+    index = index.join(fresh, "path", "left")
+    return index.withColumn("is_valid", F.col("is_valid") & F.col("fresh").isNotNull()).drop("fresh")
+
+
 def read_archive(spark, paths):
     """Raw messages of mbox files, with file ids and extents."""
     return mbox.raw_messages(*indexed_archive(spark, paths))
@@ -69,32 +75,25 @@ def ingest(
 ):
     """Load mbox files into the tables under ``root`` and return these.
 
-    Files already loaded are skipped. The emails table is written last: as long as
-    it is not there, a repeated run of the same files redoes what is missing and
-    overwrites its own earlier attempt.
+    Files already loaded are skipped; which these are stands in a table of its own,
+    written last. A file of a run that stopped early is therefore loaded again, by
+    whatever set of files comes next, and replaces its own earlier attempt.
     """
     records, index, count = indexed_archive(spark, paths)
-    emails_path = os.path.join(root, "emails")
-    if not drop_previous and tables.exists(spark, emails_path):
-        loaded = spark.read.parquet(emails_path).select("mbox_file_id").distinct()
-        index = index.join(loaded.withColumn("loaded", F.lit(True)), "mbox_file_id", "left")
-        index = index.withColumn("is_valid", F.col("is_valid") & F.col("loaded").isNull())
-        index = index.drop("loaded")
-    batch = index.filter("is_valid").select("mbox_file_id").distinct().agg(
-        F.sum(F.xxhash64("mbox_file_id").cast("decimal(38,0)"))
-    ).first()[0]
-    if batch is not None:
-        part = f"batch={int(batch) % (1 << 64):016x}"
-        raw = tables.write_batch(
-            mbox.raw_messages(records, index, count), root, "raw_messages", part, drop_previous
-        )
-        content = tables.write_batch(
-            contents(parse_messages(raw), direct_parts), root, "contents", part, drop_previous
-        )
+    loaded = None if drop_previous else tables.loaded_files(spark, root)
+    index = _written(_to_load(index, loaded), shared_dir(spark, "to-load"))
+    batch = index.filter("is_valid").select("mbox_file_id").distinct()
+    if not batch.isEmpty():
+        raw = mbox.raw_messages(records, index, count)
+        raw = tables.write_by_file(raw, batch, root, "raw_messages", drop_previous)
+        content = contents(parse_messages(raw), direct_parts)
+        content = tables.write_by_file(content, batch, root, "contents", drop_previous)
         texts = content.filter(F.coalesce("message_id", F.lit("")) != "").select(
             "message_id", "mbox_file_id", "email_start", "text"
         )
         tables.write_documents(texts, root, drop_previous)
-        tables.write_embeddings(embed_documents(texts, embedder), root, drop_previous)
+        once = tables.first_seen(texts, ["mbox_file_id", "message_id"], ["email_start"])
+        tables.write_embeddings(embed_documents(once, embedder), root, drop_previous)
         tables.write_emails(email_rows(content), root, drop_previous)
+        tables.write_loaded(batch, root, drop_previous)
     return tables.open_archive(spark, root)

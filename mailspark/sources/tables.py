@@ -3,6 +3,7 @@
 import os
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from mailspark import schemas
 
@@ -75,10 +76,10 @@ def write_emails(emails, root, drop_previous=False):
 
 
 def write_embeddings(embeddings, root, drop_previous=False):
-    """Append (or rewrite) message vectors."""
-    path = os.path.join(root, "embeddings")
-    rows = embeddings.select(*schemas.EMBEDDINGS.fieldNames())
-    rows = _missing(rows, path, ["mbox_file_id", "message_id"], drop_previous)
+    """Append (or rewrite) message vectors: one per file and message id."""
+    path, keys = os.path.join(root, "embeddings"), ["mbox_file_id", "message_id"]
+    rows = first_seen(embeddings.select(*schemas.EMBEDDINGS.fieldNames()), keys, ["vec"])
+    rows = _missing(rows, path, keys, drop_previous)
     rows.write.mode(_mode(drop_previous)).parquet(path)
 
 
@@ -93,19 +94,38 @@ def write_documents(
     rows.write.mode(_mode(drop_previous)).parquet(path)
 
 
-def write_batch(rows, root, name, part, drop_previous=False):
-    """Write one batch of a partitioned table and read it back.
+def write_by_file(rows, batch, root, name, drop_previous=False):
+    """Write a table with one folder per mail file and read back the files of ``batch``.
 
-    Writing the same batch again replaces it. With ``drop_previous`` all other
-    batches go as well.
+    Files that are there already are replaced, all others stay; with
+    ``drop_previous`` they go as well.
     """
-    table = os.path.join(root, name)
-    if drop_previous and exists(rows.sparkSession, table):
-        old = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(table)
-        old.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).delete(old, True)
-    path = os.path.join(table, part)
-    rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    path = os.path.join(root, name)
+    (
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "static" if drop_previous else "dynamic")
+        .partitionBy("mbox_file_id")
+        .parquet(path)
+    )
+    return _by_file(rows.sparkSession, path).join(batch, "mbox_file_id", "left_semi").select(*rows.columns)
+
+
+def _by_file(spark, path):
+    """A table with one folder per mail file; the id is text, even if it looks like a number."""
+    found = spark.read.parquet(path).schema
+    fields = [StructField(f.name, StringType()) if f.name == "mbox_file_id" else f for f in found.fields]
+    return spark.read.schema(StructType(fields)).parquet(path)
+
+
+def loaded_files(spark, root):
+    """(mbox_file_id) of the files that are loaded in full, or None before the first."""
+    path = os.path.join(root, "loaded_files")
+    return spark.read.schema("mbox_file_id string").parquet(path) if exists(spark, path) else None
+
+
+def write_loaded(batch, root, drop_previous=False):
+    """Note that the files of ``batch`` are loaded in full."""
+    batch.select("mbox_file_id").write.mode(_mode(drop_previous)).parquet(os.path.join(root, "loaded_files"))
 
 
 def open_archive(spark, root, views=False):
@@ -117,7 +137,7 @@ def open_archive(spark, root, views=False):
     }
     for name in ("raw_messages", "contents"):
         if exists(spark, os.path.join(root, name)):
-            opened[name] = spark.read.parquet(os.path.join(root, name))
+            opened[name] = _by_file(spark, os.path.join(root, name))
     if views:
         for name, frame in opened.items():
             frame.createOrReplaceTempView(name)
