@@ -5,7 +5,7 @@ windows have the same anchor at the same place, so only suffixes at anchors need
 that lie in one document only can't be part of a repeat; they are found first by hash and drop out.
 The others are range-partitioned by the leading bytes of their suffixes with sampled splitters.
 A bucket holds the stretch of text around each anchor that covers all windows with that anchor.
-Equal stretches are one entry with the smallest document. Where an anchor has several different
+Equal stretches are one entry with the smallest document and all places it has there. Where an anchor has several different
 stretches their windows are sorted by multikey sort: word by word, going on only with those that are
 still tied. Neighbours in that order with a smaller document give the repeats. An anchor's windows never
 leave its bucket, so no match is split by a boundary, and runs that cross anchors meet again in
@@ -227,7 +227,7 @@ def _spans_table(doc, start, end):
     return pa.RecordBatch.from_arrays([pa.array(doc[heads], pa.int64()), pa.array(blobs, pa.binary())], ["doc", "spans"])
 
 
-STRETCHES = "bucket int, texts binary, sizes binary, offsets binary, docs binary, starts binary, known binary"
+STRETCHES = "bucket int, texts binary, sizes binary, offsets binary, docs binary, starts binary, again binary, known binary"
 
 
 def repeats(marked, cuts, partitions):
@@ -245,7 +245,7 @@ def repeats(marked, cuts, partitions):
                 live[bounds[i] : bounds[i + 1]] = np.isin(key[bounds[i] : bounds[i + 1]], shared)
             row, first, last, at = row[live], first[live], last[live], at[live]
             order = np.argsort(ids[row], kind="stable")
-            kept, known = {}, []
+            kept, known, again = {}, [], {}
             for i in order.tolist():
                 own = data[first[i] : last[i] + WINDOW].tobytes()
                 doc = int(ids[row[i]])
@@ -254,6 +254,8 @@ def repeats(marked, cuts, partitions):
                     kept[own] = (doc, i)
                 elif doc > held[0]:
                     known.append(i)
+                else:
+                    again.setdefault(held[1], []).append(i)
             leaders = np.array([i for _, i in kept.values()], np.int64)
             texts = list(kept)
             bucket = np.searchsorted(cuts, _leading(data, at[leaders]), side="right") if len(leaders) else leaders
@@ -263,24 +265,25 @@ def repeats(marked, cuts, partitions):
             rows = []
             for b, own in _by_bucket(np.asarray(bucket, np.int64)):
                 i = leaders[own]
+                more = [(place, first[k] - starts[row[k]]) for place, lead in enumerate(i.tolist()) for k in again.get(lead, ())]
                 rows.append(
                     (b, b"".join(texts[k] for k in own.tolist()), (last[i] - first[i] + WINDOW).astype(np.uint32).tobytes(),
                      (at[i] - first[i]).astype(np.uint8).tobytes(), ids[row[i]].astype(np.int64).tobytes(),
-                     (first[i] - starts[row[i]]).astype(np.int64).tobytes(), None)
+                     (first[i] - starts[row[i]]).astype(np.int64).tobytes(), np.array(more, np.int64).tobytes() if more else None, None)
                 )
             # what is known already travels along, dealt over the buckets
             for k, (doc, spans) in enumerate(zip(*(c.to_pylist() for c in sure.columns), strict=True)):
-                rows.append((k % (len(cuts) + 1), None, None, None, np.int64(doc).tobytes(), None, spans))
+                rows.append((k % (len(cuts) + 1), None, None, None, np.int64(doc).tobytes(), None, None, spans))
             if rows:
-                kinds = [pa.int32(), *[pa.binary()] * 6]
+                kinds = [pa.int32(), *[pa.binary()] * 7]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                    ["bucket", "texts", "sizes", "offsets", "docs", "starts", "known"],
+                    ["bucket", "texts", "sizes", "offsets", "docs", "starts", "again", "known"],
                 )
 
     def sort(batches):
         for table in grouped_rows(batches, 1):
-            passed, texts, sizes, offsets, docs, starts = [], [], [], [], [], []
+            passed, texts, sizes, offsets, docs, starts, again, n = [], [], [], [], [], [], [], 0
             for r in table.to_pylist():
                 if r["texts"] is None:
                     passed.append((np.frombuffer(r["docs"], np.int64)[0], r["known"]))
@@ -290,19 +293,21 @@ def repeats(marked, cuts, partitions):
                 offsets.append(np.frombuffer(r["offsets"], np.uint8))
                 docs.append(np.frombuffer(r["docs"], np.int64))
                 starts.append(np.frombuffer(r["starts"], np.int64))
+                again.append(np.frombuffer(r["again"] or b"", np.int64).reshape(-1, 2) + (n, 0))
+                n += len(sizes[-1])
             if passed:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([d for d, _ in passed], pa.int64()), pa.array([s for _, s in passed], pa.binary())], ["doc", "spans"]
                 )
             if texts:
-                yield _sorted_bucket(b"".join(texts), *(np.concatenate(c) for c in (sizes, offsets, docs, starts)))
+                yield _sorted_bucket(b"".join(texts), *(np.concatenate(c) for c in (sizes, offsets, docs, starts, again)))
 
     sent = marked.mapInArrow(emit, STRETCHES).repartition(partitions, "bucket").sortWithinPartitions("bucket")
     return sent.mapInArrow(sort, "doc long, spans binary")
 
 
-def _sorted_bucket(text, size, offset, doc, start):
-    """(doc, spans) of a bucket of stretches."""
+def _sorted_bucket(text, size, offset, doc, start, again):
+    """(doc, spans) of a bucket of stretches; ``again`` has (stretch, start) of further places in its document."""
     size = size.astype(np.int64)
     ends = np.cumsum(size)
     begins = ends - size
@@ -317,7 +322,12 @@ def _sorted_bucket(text, size, offset, doc, start):
             of_anchor.setdefault(own[offset[i] : offset[i] + ANCHOR], []).append(i)
     # windows only differ in what they repeat where an anchor has several stretches
     mixed_ones = np.array([i for rows in of_anchor.values() if len(rows) > 1 for i in rows], np.int64)
-    spans = [(doc[whole], start[whole], start[whole] + size[whole])]
+    # every place of each stretch, the places of one side by side
+    of = np.concatenate((np.arange(len(size)), again[:, 0]))
+    order = np.argsort(of, kind="stable")
+    of, place = of[order], np.concatenate((start, again[:, 1]))[order]
+    lies = whole[of]
+    spans = [(doc[of[lies]], place[lies], place[lies] + size[of[lies]])]
     if len(mixed_ones):
         count = size[mixed_ones] - WINDOW + 1
         owner = np.repeat(mixed_ones, count)
@@ -329,7 +339,10 @@ def _sorted_bucket(text, size, offset, doc, start):
             new[1:] = (owner[1:] != owner[:-1]) | (step[1:] != step[:-1] + 1)
             heads = np.flatnonzero(new)
             tails = np.append(heads[1:], len(owner)) - 1
-            spans.append((doc[owner[heads]], start[owner[heads]] + step[heads], start[owner[heads]] + step[tails] + WINDOW))
+            low, many = np.searchsorted(of, owner[heads]), np.bincount(of)[owner[heads]]
+            at = place[np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]
+            begin, end = np.repeat(step[heads], many), np.repeat(step[tails] + WINDOW, many)
+            spans.append((np.repeat(doc[owner[heads]], many), at + begin, at + end))
             # copies of a leader repeat it whole, so their own spans need nothing from here
     return _spans_table(*(np.concatenate(c) for c in zip(*spans, strict=True)))
 

@@ -294,6 +294,33 @@ def test_suffix_dedup(docs, none, monkeypatch, chunk):
         assert suffix_dedup.remove_repeats(none).collect() == []
 
 
+def test_suffix_dedup_of_passages_twice_in_a_document(spark):
+    passage, frame, short = prose(61, 40), prose(62, 30), prose(63, 12)
+    around = frame[:90] + short + frame[90:]
+    texts = {
+        2: prose(64, 20) + passage + prose(65, 20) + short + prose(66, 20),
+        5: passage + prose(67, 20) + passage + prose(68, 20) + around + prose(69, 20) + around,
+        7: around + prose(70, 20) + around + passage,
+    }
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most in (1, 10_000):  # each document in a batch of its own, and as they come
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            found, seen = rows_of(suffix_dedup.remove_repeats(rows)), set()
+            for i in sorted(texts):
+                data = texts[i].encode()
+                windows = [data[k : k + 50] for k in range(len(data) - 49)]
+                gone = np.zeros(len(data), bool)
+                for k, w in enumerate(windows):
+                    gone[k : k + 50] |= w in seen
+                seen.update(windows)
+                assert found[i].n_removed == gone.sum()
+                assert found[i].kept_sha256 == sha(bytes(b for b, g in zip(data, gone, strict=True) if not g))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+
 def test_language(spark, none):
     pick = np.random.default_rng(6)
     alphabets = {"aa": "abcde ", "bb": "fghij "}
