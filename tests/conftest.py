@@ -40,9 +40,9 @@ def splits_of(spark):
 def email_row(**values):
     row = {
         "message_id": "<a@x>",
-        "subject": "Test Email",
-        "excerpt": "This is the body...",
-        "from_email": "Ann <ann@x.org>",
+        "subject": "Minutes of the choir",
+        "excerpt": "We sang four new pieces and",
+        "from_email": "Tomke <tomke@choir.example>",
         "to_email": "",
         "date": dt.datetime(2024, 1, 1, 12),
         "has_attachment": 0,
@@ -50,8 +50,8 @@ def email_row(**values):
         "content_type": None,
         "mbox_file_id": "f",
         "email_start": 0,
-        "email_end": 100,
-        "thread_id": "thread1",
+        "email_end": 64,
+        "thread_id": "rehearsal",
     }
     row.update(values)
     return tuple(row[name] for name in schemas.EMAILS.fieldNames())
@@ -64,20 +64,16 @@ def emails_of(spark):
 
 @pytest.fixture
 def sample(emails_of):
-    """Three messages in three threads, one with an attachment."""
+    """A choir's mail: three messages in three threads, of 64, 200 and 36 bytes."""
     return emails_of(
-        {"message_id": "<1@x>", "email_start": 0, "email_end": 100},
+        {"message_id": "<1@x>"},
         {
-            "message_id": "<2@x>", "email_start": 100, "email_end": 200, "thread_id": "thread2",
-            "from_email": "bob@y.org", "date": dt.datetime(2024, 1, 2, 13),
+            "message_id": "<2@x>", "email_start": 64, "email_end": 264, "thread_id": "tour",
+            "subject": "Bus to the concert", "from_email": "bob@y.org", "date": dt.datetime(2024, 1, 2, 13),
         },
         {
-            "message_id": "<3@x>", "email_start": 200, "email_end": 300, "thread_id": "thread3",
-            "subject": "With Attachment", "labels": ["sent", "work"], "has_attachment": 1,
+            "message_id": "<3@x>", "email_start": 264, "email_end": 300, "thread_id": "scores",
+            "subject": "Scores, second voice", "labels": ["archive", "work"], "has_attachment": 1,
             "date": dt.datetime(2024, 2, 3, 14), "from_email": None,
         },
     )
-
-
-def ids(frame):
-    return [row["message_id"] for row in frame.select("message_id").collect()]

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ids
+from mail_rows import ids
 from mailspark import schemas
 from mailspark.functions.dates import header_timestamp
 from mailspark.functions.text import sender_domain
@@ -18,9 +18,9 @@ def test_thread_members_oldest_first(emails_of):
         {"message_id": "new", "date": dt.datetime(2024, 5, 1)},
         {"message_id": "undated", "date": None},
         {"message_id": "old", "date": dt.datetime(2023, 5, 1)},
-        {"message_id": "other", "thread_id": "thread2"},
+        {"message_id": "other", "thread_id": "tour"},
     )
-    assert ids(threads.thread_members(emails, "thread1")) == ["old", "new", "undated"]
+    assert ids(threads.thread_members(emails, "rehearsal")) == ["old", "new", "undated"]
     assert ids(threads.thread_members(emails, "missing")) == []
 
 
@@ -32,7 +32,7 @@ def test_no_thread_id_is_no_thread(emails_of):
     assert ids(threads.thread_of_message(emails, "a")) == []
     assert ids(threads.thread_of_message(emails, "c")) == []
     assert ids(threads.thread_members(emails, "")) == []
-    assert [tuple(r) for r in threads.thread_sizes(emails).collect()] == [("thread1", 1)]
+    assert [tuple(r) for r in threads.thread_sizes(emails).collect()] == [("rehearsal", 1)]
 
 
 def test_members_of_a_big_thread_come_once(spark, emails_of):
@@ -88,7 +88,7 @@ def test_top_subjects(emails_of):
 
 def test_reports(sample):
     sizes = reports.time_series(sample, "dates_size").collect()
-    assert [(r["dummy"], r["date"], r["count"]) for r in sizes] == [(1, "2024-01-01", 200), (1, "2024-02-01", 300)]
+    assert [(r["dummy"], r["date"], r["count"]) for r in sizes] == [(1, "2024-01-01", 264), (1, "2024-02-01", 300)]
     assert reports.time_series(sample, "domains_count").count() == 2
     unknown = reports.time_series(sample, "nothing")
     assert unknown.columns == ["date", "count"] and unknown.count() == 0
@@ -122,7 +122,8 @@ def test_header_dates_whatever_the_session_zone(spark, zone):
 @pytest.fixture
 def raw(spark):
     message = b"Message-ID: %s\n\nbody of %s\n"
-    rows = [("f", "p", n * 100, n * 100 + 100, bytearray(message % (i, i))) for n, i in enumerate([b"<1@x>", b"<2@x>"])]
+    places = [(b"<1@x>", 0, 64), (b"<2@x>", 64, 264)]
+    rows = [("f", "p", start, end, bytearray(message % (i, i))) for i, start, end in places]
     return spark.createDataFrame(rows, schemas.RAW_MESSAGES)
 
 
@@ -135,8 +136,8 @@ def test_message_detail(sample, raw):
 
 
 def test_thread_keeps_rows_without_content(sample, raw):
-    (row,) = message_view.thread_with_content(sample, raw, "thread3").collect()
+    (row,) = message_view.thread_with_content(sample, raw, "scores").collect()
     assert (row["message_id"], row["parsed_body"]) == ("<3@x>", None)
-    (row,) = message_view.thread_with_content(sample, raw, "thread1").collect()
+    (row,) = message_view.thread_with_content(sample, raw, "rehearsal").collect()
     assert row["parsed_body"] == "body of <1@x>\n"
     assert message_view.thread_with_content(sample, raw, "missing").count() == 0

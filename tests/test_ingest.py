@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ids
+from mail_rows import ids
 from mailspark.plans.ingest import ingest
 from mailspark.sources import tables
 

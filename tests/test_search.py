@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from conftest import ids
+from mail_rows import ids
 from mailspark.operators import search
 from mailspark.plans.mail_search import search_mail
 
@@ -129,7 +129,7 @@ def test_search_mail_counts_with_the_folder(emails_of):
         {"message_id": "1", "labels": ["Sent"]}, {"message_id": "2", "labels": ["Inbox"]},
         {"message_id": "3", "labels": ["Sent"], "subject": "Other"},
     )
-    result = search_mail(emails, "subject:Test", page_size=1, folder="Sent")
+    result = search_mail(emails, "subject:choir", page_size=1, folder="Sent")
     assert ids(result.page) == ["1"]
     assert result.meta.first()["total_count"] == 1
     assert search_mail(emails, None, page_size=2).meta.first()["has_more"]

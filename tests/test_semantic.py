@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ids
+from mail_rows import ids
 from mailspark.functions.text import token_overlap, tokens
 from mailspark.functions.vectors import cosine_distance
 from mailspark.operators import semantic
