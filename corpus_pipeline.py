@@ -12,7 +12,7 @@ SHINGLE, SIMILARITY = 5, 80
 
 
 def find_language(spark, docs, sf_dir):
-    """Documents without a letter, in which no language can be found, go."""
+    """Documents without a letter go, and those that no mixture of the learned languages explains."""
     return language.with_language(docs)
 
 

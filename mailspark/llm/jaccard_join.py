@@ -58,7 +58,7 @@ def shingle_sets(data, starts, ends, words):
         counts = np.diff(bounds)
         n = len(hashes)
         rolled = hashes.copy()
-        for k in range(1, words):
+        for k in range(1, min(words, n)):
             rolled[: n - k] = rolled[: n - k] * np.uint64(MULTIPLIER) + hashes[k:]
         rolled = mixed(rolled)
         for i, count in enumerate(counts.tolist()):

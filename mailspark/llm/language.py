@@ -2,9 +2,13 @@
 
 Training counts letter trigrams (hashed into a fixed number of cells) for each language over all
 training rows. A document is cut into segments of trigrams; each segment has a log-likelihood under
-every language. EM estimates the document's proportions. For one, two and three languages the best
-set is refitted, and the set with the largest likelihood less a penalty for its size is
-taken. The prediction is the language with the largest proportion in that set.
+every language. EM estimates the document's proportions. In order of these, sets of one, two and more
+languages are refitted until a larger set no longer pays its penalty, and the set with the largest
+likelihood less its penalty is taken. The prediction is the language with the largest proportion in it.
+
+A document `fits` if it has a letter and its mixture explains it no worse than a background in which all
+cells are equally likely: less by FLOOR nats a trigram and by LEAST_LOSS nats in all is a text of none of the
+learned languages. Without a model every text with a letter fits.
 
 Defined results: a null text or one without a letter is `und` with score 0, and so is any text if
 nothing could be learned. Texts are read whole. Ties go to the first language by name. Rows without
@@ -19,10 +23,12 @@ from mailspark.llm.bpe import LETTER, character_classes
 from mailspark.llm.common import per_process, rows_by_id, runs_of_rows
 
 CELLS = 1 << 15
-SEGMENT, ROUNDS, LARGEST_SET, CHUNK = 48, 10, 3, 500_000
+SEGMENT, ROUNDS, CHUNK = 48, 10, 500_000
 #: Cost of one more language: this many nats, and as many times the log of the segments.
 PENALTY = 3.0
 UNDETERMINED = "und"
+#: A text that loses so many nats against the background, for each trigram and in all, fits no language.
+FLOOR, LEAST_LOSS = 1.0, 40.0
 
 
 def held_out():
@@ -93,12 +99,13 @@ def _fit(scores, heads, owner, allowed):
 
 
 def mixtures(texts, logs):
-    """(rows with letters, language number, proportion, size of the chosen set)."""
+    """(rows with letters, language number, proportion, size of the chosen set, whether it fits)."""
     cells, owner = trigrams(texts)
-    if not len(cells):
-        return (np.zeros(0, np.int64),) * 4
-    rows, starts = np.unique(owner, return_index=True)
-    inside = np.arange(len(cells)) - np.repeat(starts, np.diff(np.append(starts, len(cells))))
+    if not len(cells) or not len(logs):
+        rows = np.unique(owner)
+        return rows, *(np.zeros(len(rows), np.int64),) * 3, np.ones(len(rows), bool)
+    rows, starts, counts = np.unique(owner, return_index=True, return_counts=True)
+    inside = np.arange(len(cells)) - np.repeat(starts, counts)
     heads = np.flatnonzero(inside % SEGMENT == 0)
     scores = np.stack([np.add.reduceat(own[cells], heads) for own in logs], axis=1).astype(np.float64)
     own = np.searchsorted(rows, owner[heads])
@@ -107,24 +114,29 @@ def mixtures(texts, logs):
     n = len(logs)
     alone = np.add.reduceat(scores, first)
     best, value = alone.argmax(axis=1), alone.max(axis=1)
-    share, size = np.ones(len(rows)), np.ones(len(rows), np.int64)
+    share, size, gain = np.ones(len(rows)), np.ones(len(rows), np.int64), value + counts * np.log(CELLS)
     free, _ = _fit(scores, first, own, np.ones((len(rows), n)))
     order = np.argsort(-free, axis=1, kind="stable")
-    for k in range(2, min(LARGEST_SET, n) + 1):
-        allowed = np.zeros((len(rows), n))
-        np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
-        fitted, likelihood = _fit(scores, first, own, allowed)
-        likelihood -= (k - 1) * PENALTY * (1 + np.log1p(segments))
-        better = likelihood > value
-        value = np.where(better, likelihood, value)
-        best = np.where(better, fitted.argmax(axis=1), best)
-        share = np.where(better, fitted.max(axis=1), share)
-        size = np.where(better, k, size)
-    return rows, best, share, size
+    for k in range(2, n + 1):
+        live = size >= k - 2  # a larger set is tried once more after one that didn't pay
+        if not live.any():
+            break
+        at, part = np.flatnonzero(live), live[own]
+        places = (np.cumsum(live) - 1)[own[part]]
+        allowed = np.zeros((len(at), n))
+        np.put_along_axis(allowed, order[at, :k], 1.0, axis=1)
+        fitted, likelihood = _fit(scores[part], np.searchsorted(places, np.arange(len(at))), places, allowed)
+        penalised = likelihood - (k - 1) * PENALTY * (1 + np.log1p(segments[at]))
+        better = penalised > value[at]
+        won = at[better]
+        value[won], size[won] = penalised[better], k
+        best[won], share[won] = fitted[better].argmax(axis=1), fitted[better].max(axis=1)
+        gain[won] = likelihood[better] + counts[won] * np.log(CELLS)
+    return rows, best, share, size, (gain > -FLOOR * counts) | (gain > -LEAST_LOSS)
 
 
 def identify(docs, names, logs):
-    """(doc_id, held_out, lang_pred, score, n_languages) of every document."""
+    """(doc_id, held_out, lang_pred, score, n_languages, fits) of every document."""
     model = docs.sparkSession.sparkContext.broadcast((names, logs))
 
     def run(batches):
@@ -132,17 +144,18 @@ def identify(docs, names, logs):
             known, table = model.value
             texts = batch.column(2).fill_null("").to_pylist()
             label, score, count = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for start, stop in runs_of_rows([len(t) + 1 for t in texts], CHUNK) if known else ():
-                rows, best, share, size = mixtures(texts[start:stop], table)
-                score[start + rows], count[start + rows] = share, size
+            fits = np.zeros(len(texts), bool)
+            for start, stop in runs_of_rows([len(t) + 1 for t in texts], CHUNK):
+                rows, best, share, size, good = mixtures(texts[start:stop], table)
+                score[start + rows], count[start + rows], fits[start + rows] = share, size, good
                 for row, i in zip((start + rows).tolist(), best.tolist(), strict=True):
-                    label[row] = known[i]
+                    label[row] = known[i] if known else UNDETERMINED
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(label), pa.array(np.clip(score, 0, 1)), pa.array(count)],
-                ["doc_id", "held_out", "lang_pred", "score", "n_languages"],
+                [batch.column(0), batch.column(1), pa.array(label), pa.array(np.clip(score, 0, 1)), pa.array(count), pa.array(fits)],
+                ["doc_id", "held_out", "lang_pred", "score", "n_languages", "fits"],
             )
 
-    schema = "doc_id long, held_out boolean, lang_pred string, score double, n_languages long"
+    schema = "doc_id long, held_out boolean, lang_pred string, score double, n_languages long, fits boolean"
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, schema)
 
 
@@ -152,5 +165,8 @@ def predict(docs):
 
 
 def with_language(docs):
-    """The documents in which a language is found; rows without letters go (those without an id only together)."""
-    return rows_by_id(docs, predict(docs).filter(F.col("lang_pred") != UNDETERMINED), "left_semi")
+    """The documents that fit a mixture of learned languages, or that have a letter if none was learned.
+
+    Rows without an id share one decision: they stay if one of them fits.
+    """
+    return rows_by_id(docs, predict(docs).filter("fits"), "left_semi")

@@ -189,6 +189,17 @@ def test_jaccard_join(spark, docs, none, monkeypatch, block):
         assert jaccard_join.links(none, 4, 85).collect() == []
 
 
+@pytest.mark.parametrize("words", [4, 5])
+def test_jaccard_join_of_lone_short_texts(spark, monkeypatch, words):
+    monkeypatch.setattr(jaccard_join, "CHUNK", 1)  # every text is a run of its own
+    texts = {n: " ".join(["hello", "wide", "world", "of", "mail"][:n]) for n in range(6)} | {9: "A" * 5000 + " " + "b" * 5000}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = jaccard_join.links(frame.repartition(7), words, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute_components(texts, words, 85)
+    lone = spark.createDataFrame([(1, "hello world")], "doc_id long, text string")
+    assert [tuple(r)[1:] for r in jaccard_join.links(lone, words, 85).collect()] == [(1, 1)]
+
+
 def test_near_copies_leave_rows_without_an_id(spark):
     text = "one two three four five six seven eight nine ten"
     rows = spark.createDataFrame([(None, text, "a"), (1, text, "b"), (2, text, "c"), (None, None, "d")], "doc_id long, text string, _gone string")
@@ -334,3 +345,37 @@ def test_language(spark, none):
     assert all(found[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(120))
     assert language.predict(none).collect() == []
     assert 500 not in rows_of(language.with_language(frame)) and 504 in rows_of(language.with_language(frame))
+
+
+def test_language_of_four_and_of_none(spark):
+    pick = np.random.default_rng(8)
+    alphabets = ["abcde ", "fghij ", "klmno ", "pqrst "]
+    write = lambda a, n: "".join(pick.choice(list(a), n))
+    rows = [(i, write(alphabets[i % 4], 3000), f"l{i % 4}") for i in range(160)]
+    rows += [(900, " ".join(write(a, 400) for a in alphabets), None), (901, write("uvwxyz ", 3000), None), (902, "z", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = rows_of(language.predict(frame))
+    assert found[900].n_languages == 4 and abs(found[900].score - 0.25) < 0.06
+    assert (found[900].fits, found[901].fits, found[902].fits) == (True, False, True)
+    kept = rows_of(language.with_language(frame))
+    assert set(kept) == {i for i, _, _ in rows} - {901}
+    unlabelled = frame.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.lang_pred for r in language.predict(unlabelled).collect()} == {"und"}
+    assert set(rows_of(language.with_language(unlabelled))) == {i for i, _, _ in rows}
+
+
+def test_mixture_equals_plain_em():
+    pick = np.random.default_rng(11)
+    table = np.log(pick.dirichlet(np.ones(language.CELLS) * 0.05, size=3) + 1e-12).astype(np.float32)
+    text = "".join(pick.choice(list("abcdefgh "), 2000))
+    cells, _ = language.trigrams([text])
+    parts = [table[:, cells[k : k + language.SEGMENT]].sum(axis=1, dtype=float) for k in range(0, len(cells), language.SEGMENT)]
+    share = np.full(3, 1 / 3)
+    for _ in range(language.ROUNDS):
+        weights = []
+        for p in parts:
+            w = share * np.exp(p - p.max())
+            weights.append(w / w.sum())
+        share = np.mean(weights, axis=0)
+    fitted, _ = language._fit(np.array(parts), np.array([0]), np.zeros(len(parts), int), np.ones((1, 3)))
+    assert np.allclose(fitted[0], share, atol=1e-6)
