@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mailspark.llm import bpe, exact_dedup, jaccard_join, language, neighbours, packing, pii, quality, sharding, suffix_dedup
+from mailspark.llm import bpe, exact_dedup, jaccard_join, language, merkle, neighbours, packing, pii, quality, sharding, suffix_dedup
 from mailspark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -71,6 +71,11 @@ def op10_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@registered
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.prove(table(spark, sf_dir, "documents"))
+
+
 def all_queries():
     return dict(_REGISTERED)
 
@@ -79,6 +84,11 @@ def all_oracles():
     return dict(_ORACLES)
 
 
+def _fields(n_chars):
+    parts = ("doc_id", "source", "lang", n_chars, "text")
+    return ", ".join(f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in parts)
+
+
 _ORACLES = {
     "op1_exact_dedup": r"""
         with rows as (
@@ -93,4 +103,50 @@ _ORACLES = {
                min(doc_id) over (partition by digest) <= (select half from middle) as in_history
         from rows
     """,
+    "op12_merkle_manifest": f"""
+        with recursive
+        leaves as (
+          select *, coalesce('=' || lang, '') as tree,
+            sha256(concat_ws('', {_fields("n_chars")})) as leaf,
+            sha256(concat_ws('', {_fields("n_chars + 1")})) as more,
+            list_reduce(
+              flatten([[4294967295]] || list_transform(string_split(cast(doc_id as varchar), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])),
+              lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, (a & 1) * 3988292384) end) as inverted
+          from documents),
+        placed as (
+          select *, case when doc_id is null or n_chars is null or xor(inverted, 4294967295) % 7 <> 0 then leaf else more end as altered,
+            row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as place
+          from leaves),
+        nodes as (
+          select tree, 0 as level, place, leaf as h, count(*) over (partition by tree) as n from placed
+          union all
+          select tree, level + 1, place // 2, sha256(h || coalesce(next, '')), (n + 1) // 2
+          from (select *, lead(h) over (partition by tree order by place) as next from nodes) where n > 1 and place % 2 = 0),
+        subroots as (
+          select tree, h as subroot, row_number() over (order by tree) - 1 as place from nodes where n = 1),
+        upper as (
+          select 0 as level, place, subroot as h, count(*) over () as n from subroots
+          union all
+          select level + 1, place // 2, sha256(h || coalesce(next, '')), (n + 1) // 2
+          from (select *, lead(h) over (order by place) as next from upper) where n > 1 and place % 2 = 0),
+        steps as (
+          select d.tree, d.place, n.level, (d.place >> n.level) % 2 as on_right, coalesce(s.h, '') as sibling
+          from placed d join nodes n on n.tree = d.tree and n.place = d.place >> n.level and n.n > 1
+          left join nodes s on s.tree = n.tree and s.level = n.level and s.place = xor(n.place, 1)),
+        over_steps as (
+          select t.tree, n.level, (t.place >> n.level) % 2 as on_right, coalesce(s.h, '') as sibling
+          from subroots t join upper n on n.place = t.place >> n.level and n.n > 1
+          left join upper s on s.level = n.level and s.place = xor(n.place, 1)),
+        paths as (
+          select d.tree, d.place,
+            coalesce((select list({{'r': on_right, 's': sibling}} order by level) from steps p where p.tree = d.tree and p.place = d.place), [])
+              || coalesce((select list({{'r': on_right, 's': sibling}} order by level) from over_steps o where o.tree = d.tree), []) as path
+          from placed d)
+        select d.doc_id, d.leaf, t.subroot, u.h as root,
+          sha256(array_to_string(list_transform(path, lambda x: x.s), '')) as proof_sha256,
+          list_reduce(list_transform(path, lambda x: x), lambda a, x: {{'r': 0, 's': case when x.r = 1 then sha256(x.s || a.s) else sha256(a.s || x.s) end}}, {{'r': cast(0 as bigint), 's': altered}}).s as folded_root,
+          folded_root = u.h as verified
+        from placed d join paths p on p.tree = d.tree and p.place = d.place
+        join subroots t on t.tree = d.tree cross join (select h from upper where n = 1) u
+    """,
 }

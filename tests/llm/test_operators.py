@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from mailspark.llm import (
-    bpe, exact_dedup, jaccard_join, language, neighbours, packing, pii, quality, sharding, suffix_dedup,
+    bpe, exact_dedup, jaccard_join, language, merkle, neighbours, packing, pii, quality, sharding, suffix_dedup,
 )
 from pyspark.sql import functions as F
 
@@ -379,3 +379,60 @@ def test_mixture_equals_plain_em():
         share = np.mean(weights, axis=0)
     fitted, _ = language._fit(np.array(parts), np.array([0]), np.zeros(len(parts), int), np.ones((1, 3)))
     assert np.allclose(fitted[0], share, atol=1e-6)
+
+
+def merkle_rows(rows):
+    """What the manifest says of rows (doc_id, source, lang, n_chars, text), hash by hash."""
+
+    def hashed(*parts):
+        return sha("".join(parts).encode())
+
+    def leaf(row, more=0):
+        values = [*row[:3], None if row[3] is None else row[3] + more, row[4]]
+        return hashed(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+    def levels(nodes):
+        found = [nodes]
+        while len(found[-1]) > 1:
+            found.append([hashed(*found[-1][i : i + 2]) for i in range(0, len(found[-1]), 2)])
+        return found
+
+    def siblings(tree, i):
+        return [((i >> k) % 2, level[(i >> k) ^ 1] if (i >> k) ^ 1 < len(level) else "") for k, level in enumerate(tree[:-1])]
+
+    held = {}
+    for row in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, leaf(r))):
+        held.setdefault(row[2], []).append(row)
+    names = sorted(held, key=lambda n: (n is not None, (n or "").encode()))
+    trees = [levels([leaf(r) for r in held[n]]) for n in names]
+    top = levels([t[-1][0] for t in trees])
+    out = []
+    for k, (name, tree) in enumerate(zip(names, trees, strict=True)):
+        for i, row in enumerate(held[name]):
+            path = siblings(tree, i) + siblings(top, k)
+            changed = row[0] is not None and row[3] is not None and zlib.crc32(str(row[0]).encode()) % 7 == 0
+            up = leaf(row, int(changed))
+            for on_the_left, other in path:
+                up = hashed(other, up) if on_the_left else hashed(up, other)
+            proof = hashed(*(other for _, other in path))
+            out.append((row[0], leaf(row), tree[-1][0], top[-1][0], proof, up, up == top[-1][0]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("bits", [1, 2, 10])
+def test_merkle(spark, none, bits):
+    rows = [(i, f"s{i % 3}", ["en", "fr", None, "日", "é"][i % 5] if i < 60 else "en", i % 9 or None, prose(i, 5)) for i in range(90)]
+    rows += [(200, None, "lone", None, None), (None, "s", "en", 4, ""), (None, "s", None, 7, None), rows[3], (7, "x", "fr", 2, "other")]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+    frame = frame.withColumn("pos", F.lit(1)).withColumn("key", F.lit("k")).repartition(5)
+    found = merkle.verified(merkle.manifest(frame, bits)).collect()
+    assert sorted(map(tuple, found), key=str) == merkle_rows(rows)
+    assert {r.verified for r in found} == {True, False}
+    if bits == 10:
+        assert merkle.prove(none).collect() == []
+
+
+def test_merkle_of_one_row(spark):
+    row = (1, None, None, None, None)
+    frame = spark.createDataFrame([row], "doc_id long, source string, lang string, n_chars long, text string")
+    assert [tuple(r) for r in merkle.prove(frame).collect()] == merkle_rows([row])
