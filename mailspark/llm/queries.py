@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from mailspark.llm import bpe, exact_dedup, jaccard_join, language, merkle, neighbours, packing, pii, quality, sharding, suffix_dedup
+from mailspark.llm import (
+    bpe, exact_dedup, jaccard_join, language, lexical, merkle, neighbours, packing, pii, quality, sharding, suffix_dedup,
+)
 from mailspark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -76,6 +78,11 @@ def op12_merkle_manifest(spark, sf_dir):
     return merkle.prove(table(spark, sf_dir, "documents"))
 
 
+@registered
+def op13_lexical_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def all_queries():
     return dict(_REGISTERED)
 
@@ -89,6 +96,9 @@ def _fields(n_chars):
     return ", ".join(f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in parts)
 
 
+_CASES = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_TERM = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+
 _ORACLES = {
     "op1_exact_dedup": r"""
         with rows as (
@@ -149,4 +159,29 @@ _ORACLES = {
         from placed d join paths p on p.tree = d.tree and p.place = d.place
         join subroots t on t.tree = d.tree cross join (select h from upper where n = 1) u
     """,
+    "op13_lexical_search": f"""
+        with words as (
+          select doc_id, row_number() over () as row, unnest(regexp_extract_all(
+            translate(text, {_CASES}), '{_TERM}')) as term
+          from documents),
+        asked as (
+          select distinct item_id, unnest(regexp_extract_all(
+            translate(text, {_CASES}), '{_TERM}')) as term
+          from benchmark),
+        sizes as (select row, any_value(doc_id) as doc_id, count(*) as n from words group by row),
+        corpus as (select count(*) as docs, cast(sum(n) as bigint) as words from sizes),
+        counts as (select row, term, count(*) as tf from words where term in (select term from asked) group by row, term),
+        weights as (
+          select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w
+          from counts cross join corpus group by term, docs),
+        scores as (
+          select item_id, row, any_value(doc_id) as doc_id, cast(sum(
+            w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * c.docs) // c.words)))) as bigint) as score
+          from asked join weights using (term) join counts using (term) join sizes using (row) cross join corpus c
+          group by item_id, row),
+        ranked as (
+          select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank
+          from scores where score > 0)
+        select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 50
+    """,
 }

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from mailspark.llm import (
-    bpe, exact_dedup, jaccard_join, language, merkle, neighbours, packing, pii, quality, sharding, suffix_dedup,
+    bpe, exact_dedup, jaccard_join, language, lexical, merkle, neighbours, packing, pii, quality, sharding, suffix_dedup,
 )
 from pyspark.sql import functions as F
 
@@ -436,3 +436,74 @@ def test_merkle_of_one_row(spark):
     row = (1, None, None, None, None)
     frame = spark.createDataFrame([row], "doc_id long, source string, lang string, n_chars long, text string")
     assert [tuple(r) for r in merkle.prove(frame).collect()] == merkle_rows([row])
+
+
+def ranked_by_counting(docs, items, best):
+    """{item: [(doc_id, score)]} by scoring every document for every item."""
+    split = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    bags = [(i, split(t)) for i, t in docs]
+    n_docs, n_words = sum(bool(b) for _, b in bags), sum(len(b) for _, b in bags)
+    counts = [(i, len(b), {w: b.count(w) for w in set(b)}) for i, b in bags]
+    found = {}
+    asked = {}
+    for item, text in items:
+        asked.setdefault(item, set()).update(split(text))
+    for item, words in asked.items():
+        rows = []
+        for i, n, held in counts:
+            score = 0
+            for word in words & set(held):
+                df = sum(word in h for _, _, h in counts)
+                tf, m = held[word], 50 + (50 * n * n_docs) // n_words
+                score += int(np.floor(1000 * np.log((2 * n_docs + 2) / (2 * df + 1)))) * ((10**9 * tf) // (1000 * tf + 20 * m))
+            if score > 0:
+                rows.append((i, score))
+        rows.sort(key=lambda r: (-r[1], r[0] is None, r[0] or 0))
+        if rows:
+            found[item] = rows[:best]
+    return found
+
+
+@pytest.mark.parametrize(("best", "pairs", "shard", "block", "chunk"), [(50, 200_000, 32_000_000, 128, 10**6), (3, 7, 500, 2, 40), (1, 50, 5000, 4, 200)])
+def test_lexical_search(spark, docs, none, monkeypatch, best, pairs, shard, block, chunk):
+    for name, value in {"SHARD": shard, "BLOCK": block, "CHUNK": chunk}.items():
+        monkeypatch.setattr(lexical, name, value)
+    texts = [(i, t) for i, t in TEXTS.items() if i != 13] + [(8, "one"), (None, "naïve one"), (30, prose(3, 50) * 3)]
+    texts += [(100 + i, prose(40 + i, 30) + " rare" * (i % 4)) for i in range(60)]
+    items = [(1, prose(2, 15)), (2, "one RARE the0"), (3, None), (4, "!?"), (5, "nowhere"), (6, prose(3, 9)), (1, "rare"), (None, "naïve 日本語")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").withColumn("term", F.lit(3)).repartition(4)
+    asked = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+        rows = lexical.search(frame, asked, best, pairs).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    found = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        found.setdefault(r.item_id, []).append((r.doc_id, r.score))
+        assert r["rank"] == len(found[r.item_id])
+    assert found == ranked_by_counting(texts, items, best)
+    if best == 50:
+        assert lexical.search(none, asked).collect() == [] and lexical.search(docs, asked.limit(0)).collect() == []
+
+
+def test_lexical_search_leaves_blocks_packed():
+    pick = np.random.default_rng(12)
+    n = 20_000
+    words = pick.integers(20, 400, n)
+    rare = np.sort(pick.choice(n, 80, replace=False))
+    doc, term = np.concatenate((rare, np.arange(n))), np.repeat([0, 1], [80, n])
+    row = lexical.shard_row(list(range(n)), words, doc, term, np.ones(n + 80, int))
+    shard = lexical.Shard(row, n, int(words.sum()))
+    asked = []
+    for t, df in ((0, 80), (1, n)):
+        points = lexical.weight(n, df)
+        asked.append((t, points, points * int(shard.bound.max())))
+    docs, scores = shard.search(asked, 0, 10)
+    assert shard.unpacked < 100  # the frequent list has 157 blocks
+    whole = np.zeros(n, np.int64)
+    for t, points, _ in asked:
+        own = np.flatnonzero(term == t)
+        np.add.at(whole, doc[own], points * lexical.impact(1, words[doc[own]], n, int(words.sum())))
+    assert sorted(scores.tolist())[-10:] == sorted(whole.tolist())[-10:]
