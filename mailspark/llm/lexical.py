@@ -118,7 +118,8 @@ def _class_of(counts):
 
 
 def shard_row(ids, words, doc, term, count):
-    """One shard: document columns and the posting lists of (doc, term, count), sorted by term and doc."""
+    """One shard as Arrow arrays of one row: document columns and the posting lists of (doc, term, count),
+    sorted by term and doc."""
     term, doc, count = (np.asarray(c, np.int64) for c in (term, doc, count))
     lists, begin = np.unique(term, return_index=True)
     length = np.diff(np.append(begin, len(term)))
@@ -133,6 +134,10 @@ def shard_row(ids, words, doc, term, count):
         most = np.maximum.reduceat(count, start)
         for k in range(fewest.shape[1]):
             fewest[:, k] = np.minimum.reduceat(np.where(kind == k, size, NONE), start)
+    peak, least = np.zeros(0, np.int64), np.full((len(CLASSES) + 1, 0), NONE)
+    if len(begin):  # the same facts of whole lists
+        peak = np.maximum.reduceat(count, begin)
+        least = np.stack([np.minimum.reduceat(np.where(kind == k, size, NONE), begin) for k in range(len(CLASSES) + 1)])
     heads = set(begin.tolist())
     parts, at = [], [0]
     for a, b in zip(start.tolist(), end.tolist(), strict=True):
@@ -140,15 +145,20 @@ def shard_row(ids, words, doc, term, count):
         gaps = np.diff(doc[a:b], prepend=before) - 1
         parts.append(_packed(gaps) + _packed(count[a:b] - 1))
         at.append(at[-1] + len(parts[-1]))
-    return {
-        "doc_id": ids, "words": words.tolist(), "term": lists.tolist(), "length": length.tolist(),
-        "first": first.tolist(), "last": doc[end - 1].tolist(), "most": most.tolist(),
-        "fewest": fewest.ravel().tolist(), "at": at, "packed": b"".join(parts),
+    columns = {
+        "doc_id": ids, "words": words, "term": lists, "length": length, "first": first, "last": doc[end - 1],
+        "most": most, "fewest": fewest.ravel(), "at": at, "peak": peak,
+        **{f"least{k}": own for k, own in enumerate(least)},
     }
+    rows = {c: pa.ListArray.from_arrays([0, len(own)], pa.array(own, pa.int64())) for c, own in columns.items()}
+    return rows | {"packed": pa.array([b"".join(parts)], pa.binary())}
 
 
 _LISTS = ("words", "term", "length", "first", "last", "most", "fewest", "at")
-INDEX = "n_docs long, n_words long, doc_id array<long>, " + ", ".join(f"{c} array<long>" for c in _LISTS) + ", packed binary"
+_FACTS = ("peak", *(f"least{k}" for k in range(len(CLASSES) + 1)))
+INDEX = ", ".join(
+    ["n_docs long", "n_words long", *(f"{c} array<long>" for c in ("doc_id", *_LISTS, *_FACTS)), "packed binary"]
+)
 
 
 def index(docs, wanted):
@@ -168,10 +178,8 @@ def index(docs, wanted):
             term, doc = np.divmod(both, len(ids))
             live = np.unique(doc)
             own = shard_row([ids[i] for i in live.tolist()], np.concatenate(words)[live], np.searchsorted(live, doc), term, count)
-            own |= {"n_docs": n_docs, "n_words": n_words}
-            kinds = {"n_docs": pa.int64(), "n_words": pa.int64(), "packed": pa.binary()}
-            arrays = [pa.array([own[c]], kinds.get(c, pa.list_(pa.int64()))) for c in names]
-            return pa.RecordBatch.from_arrays(arrays, names)
+            own |= {"n_docs": pa.array([n_docs], pa.int64()), "n_words": pa.array([n_words], pa.int64())}
+            return pa.RecordBatch.from_arrays([own[c] for c in names], names)
 
         for batch in batches:
             column, own_ids = batch.column(1), batch.column(0).to_pylist()
@@ -221,11 +229,12 @@ class Shard:
     """The lists of one shard, unpacked block by block where a query needs them."""
 
     def __init__(self, row, n_docs, n_words):
-        self.ids = row["doc_id"]
+        """``row`` holds one row of the index as Arrow scalars."""
+        self.ids = row["doc_id"].values
         (self.words, self.terms, self.length, self.first, self.last, self.most, fewest, self.at) = (
-            np.asarray(row[c], np.int64) for c in _LISTS
+            row[c].values.to_numpy() for c in _LISTS
         )
-        self.packed = np.frombuffer(row["packed"], np.uint8)
+        self.packed = np.frombuffer(row["packed"].as_buffer(), np.uint8)
         self.place = {t: i for i, t in enumerate(self.terms.tolist())}
         self.n_docs, self.n_words = n_docs, n_words
         self.bound = bounds(self.most, fewest.reshape(len(self.most), -1), n_docs, n_words)
@@ -316,17 +325,17 @@ def heaps(shards, asked, n_docs, n_words, best=BEST):
     def run(batches):
         found = {item: Heap(best) for item in held.value}
         for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row, n_docs, n_words)
+            for r in range(batch.num_rows):
+                shard = Shard({c: batch.column(c)[r] for c in batch.schema.names}, n_docs, n_words)
                 for item, lists in held.value.items():
                     docs, scores = shard.search(lists, found[item].lowest(), best)
                     if len(docs):
-                        found[item].add(scores.tolist(), [shard.ids[i] for i in docs.tolist()])
+                        found[item].add(scores.tolist(), shard.ids.take(pa.array(docs)).to_pylist())
         rows = [(item, i, s) for item, heap in found.items() for s, i in heap.rows]
         columns = list(zip(*rows, strict=True)) if rows else ([],) * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["item", "doc_id", "score"])
 
-    return shards.mapInArrow(run, "item long, doc_id long, score long")
+    return shards.drop("n_docs", "n_words", *_FACTS).mapInArrow(run, "item long, doc_id long, score long")
 
 
 def _ranked(rows, best, *keys):
@@ -341,21 +350,14 @@ def _turn(docs, pairs, kind, best):
     wanted = np.unique(np.array([r["term"] for r in pairs], np.int64).view(np.uint64))
     shards = written(index(docs, wanted), "shards")
     n_docs, n_words = (x or 0 for x in shards.agg(F.sum("n_docs"), F.sum("n_words")).first())
-    kinds = len(CLASSES) + 1
-    lists = shards.select(F.posexplode(F.arrays_zip("term", "length")).alias("i", "t"), "first", "most", "fewest").select(
-        "t.term", "t.length",
-        F.expr("array_max(slice(most, int(first[i]) + 1, int(first[i + 1] - first[i])))").alias("most"),
-        *[F.expr(
-            f"array_min(transform(sequence(int(first[i]), int(first[i + 1]) - 1), b -> fewest[b * {kinds} + {k}]))"
-        ).alias(f"fewest{k}") for k in range(kinds)],
-    )
+    lists = shards.select(F.inline(F.arrays_zip("term", "length", *_FACTS)))
     facts = lists.groupBy("term").agg(
-        F.sum("length").alias("df"), F.max("most").alias("most"), *[F.min(f"fewest{k}").alias(f"fewest{k}") for k in range(kinds)]
+        F.sum("length").alias("df"), F.max("peak").alias("peak"), *[F.min(c).alias(c) for c in _FACTS[1:]]
     ).collect()  # one row for each term asked for
     known = {}
     for r in facts:
         points = weight(n_docs, r["df"])
-        top = bounds(np.array([r["most"]]), np.array([[r[f"fewest{k}"] for k in range(kinds)]]), n_docs, n_words)
+        top = bounds(np.array([r["peak"]]), np.array([[r[c] for c in _FACTS[1:]]]), n_docs, n_words)
         known[r["term"]] = points, points * int(top[0])
     number = {name: i for i, name in enumerate(names)}
     asked = {i: [] for i in range(len(names))}

@@ -495,7 +495,7 @@ def test_lexical_search_leaves_blocks_packed():
     rare = np.sort(pick.choice(n, 80, replace=False))
     doc, term = np.concatenate((rare, np.arange(n))), np.repeat([0, 1], [80, n])
     row = lexical.shard_row(list(range(n)), words, doc, term, np.ones(n + 80, int))
-    shard = lexical.Shard(row, n, int(words.sum()))
+    shard = lexical.Shard({c: column[0] for c, column in row.items()}, n, int(words.sum()))
     asked = []
     for t, df in ((0, 80), (1, n)):
         points = lexical.weight(n, df)
