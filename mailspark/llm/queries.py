@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from mailspark.llm import (
-    bpe, exact_dedup, jaccard_join, language, lexical, merkle, neighbours, packing, pii, quality, sharding, suffix_dedup,
+    bpe, exact_dedup, jaccard_join, language, lexical, merkle, neighbours, packing, pii, quality, sharding, suffix_dedup, toxicity,
 )
 from mailspark.llm.common import table
 
@@ -73,6 +73,11 @@ def op10_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@registered
+def op11_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @registered
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.prove(table(spark, sf_dir, "documents"))

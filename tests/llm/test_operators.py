@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from mailspark.llm import (
-    bpe, exact_dedup, jaccard_join, language, lexical, merkle, neighbours, packing, pii, quality, sharding, suffix_dedup,
+    bpe, exact_dedup, jaccard_join, language, lexical, merkle, neighbours, packing, pii, quality, sharding, suffix_dedup, toxicity,
 )
 from pyspark.sql import functions as F
 
@@ -507,3 +507,103 @@ def test_lexical_search_leaves_blocks_packed():
         own = np.flatnonzero(term == t)
         np.add.at(whole, doc[own], points * lexical.impact(1, words[doc[own]], n, int(words.sum())))
     assert sorted(scores.tolist())[-10:] == sorted(whole.tolist())[-10:]
+
+
+RUDE = ["blockhead", "nitwit", "dunce"]
+
+
+def rude_rows(n):
+    """Texts of which every third has a rude word, some of them in disguise."""
+    pick = np.random.default_rng(21)
+    disguises = [lambda w: w, lambda w: w.replace("i", "1").replace("o", "0"), " ".join, lambda w: w[0] + w[1] * 4 + w[2:]]
+    rows = []
+    for i in range(n):
+        words = [w for w in prose(i, 30 + i % 20).split()]
+        words = [re.sub("[0-9]", "", w) for w in words]
+        if i % 3 == 0:
+            words.insert(pick.integers(len(words)), disguises[pick.integers(4)](RUDE[i // 3 % 3]))
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    return rows
+
+
+def test_toxicity(spark, none):
+    rows = rude_rows(900)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(5)
+    labels = frame.select("doc_id", "toxic").union(spark.createDataFrame([(9999, 1), (None, 1)], "doc_id long, toxic int"))
+    docs = frame.withColumn("cell", F.lit(1)).select("doc_id", "text", "cell", F.lit(1).alias("toxic"), F.lit("x").alias("held_out"))
+    found = rows_of(toxicity.classify(docs, labels))
+    truth = {i: t for i, _, t in rows}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert {i for i, r in found.items() if r.held_out} == set(held) and len(found) == 900
+    right = sum(found[i].predicted == truth[i] for i in held)
+    assert right >= 0.98 * len(held)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in found.values())
+    odd = spark.createDataFrame([(2000, None), (2001, ""), (2002, " \n"), (None, "nitwit"), (2000, None)], "doc_id long, text string")
+    scores = toxicity.classify(docs.select("doc_id", "text").union(odd), labels).filter("doc_id >= 2000 or doc_id is null").collect()
+    assert len(scores) == 5 and sum(r.predicted for r in scores) == 1
+    assert toxicity.classify(none, labels).collect() == []
+
+
+def test_toxicity_without_two_classes(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    for label, score in ((None, 0.5), (1, 1.0), (0, 0.0)):
+        labels = spark.createDataFrame([(i, label) for i in range(10)], "doc_id long, toxic int")
+        assert [r.score for r in toxicity.classify(docs, labels).collect()] == [score] * 2
+
+
+def test_restored_texts(spark, none):
+    rows = [(i, t) for i, t, _ in rude_rows(300)] + [(1000 + i, " ".join(RUDE)) for i in range(40)]
+    model = toxicity.language_model(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = {
+        1: "a N1TW1T here", 2: "n i t w i t", 3: "d.u.n.c.e!", 4: "blooooockhead", 5: "bl0ckh3ad, dunce", 6: None, 7: "",
+        8: "the 45.114.23.72", 9: "1 2 3 4 5", 10: "of the and",
+    }
+    wanted = {
+        1: "a nitwit here", 2: "nitwit", 3: "dunce!", 4: "blockhead", 5: "blockhead, dunce", 6: None, 7: "",
+        8: "the 45.114.23.72", 9: "1 2 3 4 5", 10: "of the and",
+    }
+    found = rows_of(toxicity.restore(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model))
+    assert {i: r.restored for i, r in found.items()} == wanted
+    assert toxicity.restore(none).collect() == []
+
+
+def test_decoder_takes_the_cheapest_of_all_readings():
+    pick = np.random.default_rng(22)
+    model = np.log(pick.dirichlet(np.ones(64) * 0.3, size=64 * 64) + 1e-9).ravel().tolist()
+
+    def readings(ways, a, b):
+        if not ways:
+            yield (-model[(a * 64 + b) * 64] if b else 0.0), ""
+            return
+        for symbol, own, extra in ways[0]:
+            if symbol is None:
+                here, after = extra, (a, b)
+            elif symbol == 0:
+                here, after = extra - (model[(a * 64 + b) * 64] if b else 0.0), (0, 0)
+            else:
+                here, after = extra - model[(a * 64 + b) * 64 + symbol], (b, symbol)
+            for cost, rest in readings(ways[1:], *after):
+                yield here + cost, own + rest
+
+    for _ in range(60):
+        text = "".join(pick.choice(list("ab01@ .!*xx"), pick.integers(1, 7)))
+        assert toxicity.decode(text, model) == min(readings(toxicity.lattice(text), 0, 0))[1] or np.isclose(
+            min(readings(toxicity.lattice(text), 0, 0))[0],
+            min(c for c, t in readings(toxicity.lattice(text), 0, 0) if t == toxicity.decode(text, model)),
+        )
+
+
+def test_long_texts_are_scored_in_stretches(monkeypatch):
+    words = " ".join(f"word{i} n i t w i t bl0ck" for i in range(400))
+    whole = [(t, r) for t, _, r in toxicity.joined([words, "x", None or ""])]
+    monkeypatch.setattr(toxicity, "CHUNK", 300)
+    parts = list(toxicity.stretches([words, "x", ""]))
+    assert len(parts) > 20 and " ".join(t for r, t in parts if r == 0) == words and len(whole) == 1
+    assert all(not re.search(r"\b\w$", t) for _, t in parts[:-3])
+    model = np.full(64**3, -3.0, np.float32)
+    cells = []
+    for chunk in (300, 10**6):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        decoder = toxicity.Decoder(model)
+        cells.append(sorted(c for text, ends, _ in toxicity.joined([words]) for c in toxicity.windows(*decoder.restored(text, ends))[0].tolist()))
+    assert cells[0] == cells[1]

@@ -20,7 +20,7 @@ def test_equals_sql(spark, name):
 
 def test_every_operator_has_a_query():
     numbers = {int(name[2:].split("_")[0]) for name in queries.all_queries()}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
 
 
 def test_pipeline(spark):
