@@ -8,10 +8,13 @@ import os
 
 from pyspark.sql import functions as F
 
+from mailspark.plans.ingest import indexed_archive
 from mailspark.session import shared_dir
+from mailspark.sources import mbox
 
 # Documents per archive file, and the room left for each in the table's extents.
 ARCHIVE_DOCS = 500
+FILE_DOCS = 50
 SLOT = 10_000_000
 
 
@@ -36,7 +39,7 @@ def _sender():
 
 def _labels():
     folder = F.when(F.col("doc_id") % 4 == 0, "Sent").otherwise("Inbox")
-    named = F.array("lang", "o_orderpriority", folder)
+    named = F.array("lang", F.coalesce("o_orderpriority", F.lit("5-LOW")), folder)
     return F.when(F.col("doc_id") % 19 == 0, F.array(F.lit(""))).otherwise(named)
 
 
@@ -56,7 +59,7 @@ def _mail(spark, sf_dir, **document_columns):
     documents = table(spark, sf_dir, "documents").select(
         "doc_id", "source", "lang", *[c.alias(name) for name, c in document_columns.items()]
     )
-    return documents.join(orders, F.col("o_orderkey") == F.col("doc_id")).select(
+    return documents.join(orders, F.col("o_orderkey") == F.col("doc_id"), "left").select(
         "doc_id",
         *document_columns,
         _message_id().alias("message_id"),
@@ -65,7 +68,7 @@ def _mail(spark, sf_dir, **document_columns):
         F.when(F.col("doc_id") % 23 != 0, F.col("o_orderdate")).alias("date"),
         (F.col("doc_id") % 4).cast("int").alias("has_attachment"),
         _labels().alias("labels"),
-        F.concat(F.lit("t"), (F.col("o_custkey") % 50).cast("string")).alias("thread_id"),
+        F.coalesce(F.concat(F.lit("t"), (F.col("o_custkey") % 50).cast("string")), F.lit("")).alias("thread_id"),
         _archive_number().alias("archive"),
         F.concat(F.lit("archive-"), _archive_number().cast("string")).alias("mbox_file_id"),
         F.col("o_custkey").alias("customer"),
@@ -78,7 +81,7 @@ def emails(spark, sf_dir):
         spark,
         sf_dir,
         n_chars=F.col("n_chars"),
-        subject=F.substring("text", 1, 40),
+        subject=F.substring_index("text", "\n", 1),
         excerpt=F.substring("text", 1, 30),
     ).select(
         "message_id",
@@ -103,10 +106,12 @@ def documents(spark, sf_dir):
 
 
 def vectors(spark, sf_dir):
-    """Message vectors: the embedding whose id is the document's."""
+    """Message vectors: those of documents by the same id, and all others under an id of their own."""
     found = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     ids = table(spark, sf_dir, "documents").select("doc_id", _message_id().alias("message_id"))
-    return found.join(ids, F.col("vec_id") == F.col("doc_id")).select("message_id", "vec")
+    own = F.concat(F.lit("<v"), F.col("vec_id").cast("string"), F.lit("@vectors.example.com>"))
+    joined = found.join(ids, F.col("vec_id") == F.col("doc_id"), "left")
+    return joined.select(F.coalesce("message_id", own).alias("message_id"), "vec")
 
 
 def query_vector(spark, sf_dir, vec_id=0):
@@ -134,7 +139,7 @@ def plain_messages(spark, sf_dir):
     Body lines beginning with the message mark are left as they are.
     """
     mail = _mail(spark, sf_dir, text=F.col("text"), n_chars=F.col("n_chars"))
-    subject = F.translate(F.substring("text", 1, 40), "\n", " ")
+    subject = F.substring_index("text", "\n", 1)
     local = F.date_format(F.col("date") + F.expr("interval 2 hours"), "EEE, dd MMM yyyy HH:mm:ss")
     utc = F.date_format("date", "EEE, dd MMM yyyy HH:mm:ss")
     odd = F.col("customer") % 2 == 1
@@ -235,34 +240,50 @@ def conversation_messages(spark, sf_dir):
     )
 
 
-def plain_raw(spark, sf_dir):
-    """The plain messages as raw rows."""
-    return plain_messages(spark, sf_dir).select(
-        "mbox_file_id", "email_start", "email_end", F.col("message").cast("binary").alias("raw")
+def conversation_files(spark, sf_dir):
+    """Write the conversation messages as mbox files, one for each few conversations; return the folder."""
+    folder = shared_dir(spark, "conversations")
+    raw = conversation_messages(spark, sf_dir)
+    message = F.concat(F.lit("From chat@example.com Thu Jan 01 00:00:00 1970\n"), F.col("raw").cast("string"))
+    archive = F.expr(f"email_start div {1_000_000 * ARCHIVE_DOCS}")
+    rows = raw.select(message.alias("message"), archive.alias("archive"), "email_start")
+    (
+        rows.repartition("archive")
+        .sortWithinPartitions("archive", "email_start")
+        .select("message", "archive")
+        .write.partitionBy("archive")
+        .text(folder)
     )
+    return folder
 
 
-def conversation_emails(spark, sf_dir):
-    """Ids and extents of the conversation messages."""
-    turns = table(spark, sf_dir, "conversations")
-    message_id = F.concat(
-        F.lit("<c"), F.col("conv_id").cast("string"), F.lit("."),
-        F.col("turn").cast("string"), F.lit("@chat.example.com>"),
-    )
-    start = F.col("conv_id") * 1_000_000 + F.col("turn")
-    return turns.select(
-        message_id.alias("message_id"),
-        F.lit("conversations").alias("mbox_file_id"),
-        start.alias("email_start"),
-        (start + 1).alias("email_end"),
+def located(spark, folder):
+    """(message_id, mbox_file_id, email_start, email_end) of all messages of some mail files, by a scan of
+    their headers, and (mbox_file_id, path) of the files."""
+    records, index, count = indexed_archive(spark, folder)
+    header = F.regexp_extract(F.col("value").cast("string"), r"(?m)^Message-ID: ([^\n]*)$", 1)
+    narrow = records.select(
+        "path", "split_start", F.octet_length("value").cast("bigint").alias("n"), header.alias("message_id")
     )
+    places = mbox.with_extents(narrow, index, count).filter("message_id <> ''")
+    files = index.filter("is_valid").select("mbox_file_id", "path").distinct()
+    return places.select("message_id", "mbox_file_id", "path", "email_start", "email_end"), files
+
+
+def located_emails(spark, sf_dir):
+    """The emails table with the ids and extents that a scan of its mail files gives, and the files."""
+    places, files = located(spark, archive_files(spark, sf_dir))
+    rest = emails(spark, sf_dir).drop("mbox_file_id", "email_start", "email_end")
+    return rest.join(places, "message_id"), files
 
 
 def text_files(spark, sf_dir):
-    """Write the bare document texts as files that are not mbox; return the folder."""
+    """Write documents as files: mail files and files of bare texts by turns, and an empty one; return the folder."""
     folder = shared_dir(spark, "texts")
+    number = F.expr(f"1 + doc_id div {FILE_DOCS}")
+    marked = F.concat(F.lit("From sender@example.com Thu Jan 01 00:00:00 1970\n\n"), F.col("text"))
     rows = table(spark, sf_dir, "documents").select(
-        _archive_number().alias("archive"), "doc_id", "text"
+        number.alias("archive"), "doc_id", F.when(number % 2 == 0, marked).otherwise(F.col("text")).alias("text")
     )
     (
         rows.repartition("archive")
@@ -271,6 +292,7 @@ def text_files(spark, sf_dir):
         .write.partitionBy("archive")
         .text(folder)
     )
+    rows.select("text").limit(0).coalesce(1).write.text(os.path.join(folder, "archive=0"))
     return folder
 
 

@@ -1,29 +1,33 @@
 """The same queries as SQL for DuckDB, written against the given tables."""
 
 from catalog import queries as q
-from catalog.fixtures import ARCHIVE_DOCS, SLOT
+from catalog.fixtures import ARCHIVE_DOCS, FILE_DOCS, SLOT
 from mailspark.functions import text as t
 from mailspark.operators import search as s
 
 ID = "concat('<', cast(d.doc_id as varchar), '@', d.source, '.example.com>')"
 
+# The message id of a vector, with or without a document of its number.
+VECTOR_ID = f"""case when d.doc_id is null then concat('<v', e.vec_id, '@vectors.example.com>') else {ID} end"""
+VECTORS = "embeddings e left join documents d on d.doc_id = e.vec_id"
+
 MAIL = f"""mail as (
   select d.doc_id, d.doc_id // {ARCHIVE_DOCS} as archive, d.text, d.n_chars,
     {ID} as message_id,
-    substr(d.text, 1, 40) as subject,
+    split_part(d.text, chr(10), 1) as subject,
     substr(d.text, 1, 30) as excerpt,
-    case when d.doc_id % 17 = 0 then null
+    case when d.doc_id % 17 = 0 or o.o_custkey is null then null
       else concat('User ', o.o_custkey, ' <u', o.o_custkey, '@', d.source, '.example.com>')
     end as from_email,
     concat('list@', d.lang, '.example.com') as to_email,
     case when d.doc_id % 23 = 0 then null else o.o_orderdate end as date,
     cast(d.doc_id % 4 as integer) as has_attachment,
     case when d.doc_id % 19 = 0 then ['']
-      else [d.lang, o.o_orderpriority, case when d.doc_id % 4 = 0 then 'Sent' else 'Inbox' end]
+      else [d.lang, coalesce(o.o_orderpriority, '5-LOW'), case when d.doc_id % 4 = 0 then 'Sent' else 'Inbox' end]
     end as labels,
-    concat('t', o.o_custkey % 50) as thread_id,
+    coalesce('t' || (o.o_custkey % 50), '') as thread_id,
     o.o_custkey as customer
-  from documents d join orders o on o.o_orderkey = d.doc_id
+  from documents d left join orders o on o.o_orderkey = d.doc_id
 )"""
 
 EMAILS = f"""{MAIL},
@@ -44,7 +48,7 @@ messages as (
     'From sender@example.com Thu Jan 01 00:00:00 1970', chr(10),
     coalesce('From: ' || from_email || chr(10), ''),
     'To: ', to_email, chr(10),
-    'Subject: =?utf-8?B?', base64(encode(replace(substr(text, 1, 40), chr(10), ' '))), '?=', chr(10),
+    'Subject: =?utf-8?B?', base64(encode(split_part(text, chr(10), 1))), '?=', chr(10),
     coalesce('Date: ' || case when customer % 2 = 1
       then strftime(date + interval 2 hour, '%a, %d %b %Y %H:%M:%S +0200')
       else strftime(date, '%a, %d %b %Y %H:%M:%S +0000') end || chr(10), ''),
@@ -92,10 +96,10 @@ SHOWN = """message_id, subject, excerpt, from_email, date, has_attachment,
   array_to_string(labels, '|') as labels_text, email_start, email_end, thread_id"""
 
 HITS = f"""hits as (
-  select {ID} as message_id,
+  select {VECTOR_ID} as message_id,
     list_cosine_distance(e.embedding::double[],
       (select embedding::double[] from embeddings where vec_id = 0)) as dist
-  from embeddings e join documents d on d.doc_id = e.vec_id
+  from {VECTORS}
   order by dist, message_id limit {q.NEAREST}
 )"""
 
@@ -208,9 +212,10 @@ select archive,
   md5(concat(case when pos = 0 then '' else 'From ' end, value,
     case when pos + n = size then '' else chr(10) end)) as raw_md5
 from records""",
-        "mbox_invalid_files": f"""select archive from (
-  select doc_id // {ARCHIVE_DOCS} as archive, arg_min(text, doc_id) as head
-  from documents group by 1) where not starts_with(head, 'From ')""",
+        "mbox_invalid_files": f"""select 0 as archive union all
+select archive from (
+  select 1 + doc_id // {FILE_DOCS} as archive, arg_min(text, doc_id) as head from documents group by 1)
+where archive % 2 = 1 and not starts_with(head, 'From ')""",
         "archive_fingerprint": f"""with {RECORDS},
 placed as (
   select archive, size, case when pos = 0 then 0 else pos - 5 end as email_start, sha256(value) as digest
@@ -225,7 +230,7 @@ select name, case when name in ('raw_messages', 'contents') then (select count(*
   else (select count(*) from messages) end as n
 from (select unnest(['emails', 'documents', 'embeddings', 'raw_messages', 'contents']) as name)""",
         "ingest_emails": f"""with {LOADED}
-select message_id, replace(substr(text, 1, 40), chr(10), ' ') as subject,
+select message_id, split_part(text, chr(10), 1) as subject,
   substr({readable("kept")}, 1, 30) as excerpt, from_email, date, 0 as has_attachment,
   array_to_string(labels, '|') as labels_text, cast(email_start as bigint) as email_start,
   cast(email_start + octet_length(encode(piece)) + 1 as bigint) as email_end, thread_id,
@@ -236,21 +241,18 @@ from pieces""",
 select message_id, substr(body, 1, 30) as excerpt, md5(body) as text_md5, 768 as width
 from texts""",
         "emails_sink": _emails(),
-        "embeddings_sink": f"""select {ID} as message_id, 'fixture' as mbox_file_id,
+        "embeddings_sink": f"""select {VECTOR_ID} as message_id, 'fixture' as mbox_file_id,
   cast(len(embedding) as integer) as width,
   round(list_sum(embedding::double[]), 4) as total
-from embeddings e join documents d on d.doc_id = e.vec_id""",
+from {VECTORS}""",
         "documents_sink": f"select {ID} as message_id, md5(d.text) as text_md5 from documents d",
-        "raw_message": f"""with {MESSAGES}
-select md5(message) as raw_md5 from messages where message_id = '{q.LOOKUP_ID}'""",
-        "raw_message_batch": f"""with {MESSAGES},
-extents as (
-  select *, concat('archive-', archive) as mbox_file_id,
-    doc_id % {ARCHIVE_DOCS} * {SLOT} as email_start
-  from messages
-)
-select mbox_file_id, email_start, email_start + n_chars as email_end, md5(message) as raw_md5
-from extents where list_contains(labels, 'Sent')""",
+        "raw_message": f"""with {LOADED}
+select cast(email_start as bigint) as email_start, cast(email_start + octet_length(encode(piece)) + 1 as bigint) as email_end,
+  md5(piece || chr(10)) as raw_md5 from pieces where message_id = '{q.LOOKUP_ID}'""",
+        "raw_message_batch": f"""with {LOADED}
+select archive, cast(email_start as bigint) as email_start,
+  cast(email_start + octet_length(encode(piece)) + 1 as bigint) as email_end, md5(piece || chr(10)) as raw_md5
+from pieces where list_contains(labels, 'Sent')""",
         "ingest_append_dedup": f"""with {EMAILS} select * replace (
   case when date < timestamp '{q.ADDED_SINCE}' then 'as first loaded' else excerpt end as excerpt)
 from (select {SHOWN} from emails)""",
@@ -265,7 +267,7 @@ from (select {SHOWN} from emails)""",
         "filter_sent": _emails("list_contains(labels, 'Sent')"),
         "filter_combined": _emails(CRITERIA_SQL + " and list_contains(labels, 'Sent')"),
         "filter_ids": _emails(
-            f"message_id in (select {ID} from documents d join embeddings e on e.vec_id = d.doc_id)"
+            f"message_id in (select {VECTOR_ID} from {VECTORS})"
         ),
         "list_recent": _emails(tail=f"{NEWEST} limit 30"),
         "list_page": _emails("list_contains(labels, 'en')", f"{NEWEST} limit 5 offset 10"),
@@ -277,7 +279,7 @@ select {SHOWN}, to_email, content_type from records""",
         "search_parse": _search_parse(),
         "search_page": _emails(SEARCH_SQL, f"{NEWEST} limit 5 offset 5"),
         "page_meta": f"""with {EMAILS}, total as (
-  select count(distinct message_id) as n from emails where {SEARCH_SQL})
+  select count(*) as n from emails where {SEARCH_SQL})
 select 5 as start_index, 10 as end_index, n as total_count, n > 10 as has_more,
   case when n > 10 then 3 else -1 end as next_page from total""",
         "search_count": f"""with {EMAILS}
@@ -309,15 +311,15 @@ select {SHOWN}, round(dist, 4) as dist from cut where list_contains(labels, 'en'
             "thread_id in (select thread_id from emails where from_email like '%u1_@src%')"
         ),
         "thread_sizes": f"""with {EMAILS}
-select thread_id, count(*) as thread_count from emails group by thread_id""",
-        "thread_enriched": f"""with {MAIL}
-select message_id, date, md5(text) as body_md5, 0 as n_attachments
-from mail where thread_id = '{q.THREAD}'""",
-        "message_detail": f"""with {MAIL}
-select message_id, subject, from_email, date, has_attachment, thread_id, text as email_content,
+select thread_id, count(*) as thread_count from emails where thread_id <> '' group by thread_id""",
+        "thread_enriched": f"""with {LOADED}
+select message_id, date, md5(kept) as body_md5, 0 as n_attachments
+from pieces where thread_id = '{q.THREAD}'""",
+        "message_detail": f"""with {LOADED}
+select message_id, subject, from_email, date, has_attachment, thread_id, kept as email_content,
   0 as n_attachments,
-  (select count(*) from mail o where o.thread_id = mail.thread_id) as thread_count
-from mail where message_id = '{q.LOOKUP_ID}'""",
+  (select count(*) from mail o where o.thread_id = pieces.thread_id) as thread_count
+from pieces where message_id = '{q.LOOKUP_ID}'""",
         "parse_messages": f"""with {TURNS}
 select message_id, concat(role, ' <', role, '@chat.example.com>') as from_email,
   concat('c', conv_id) as thread_text,
@@ -377,9 +379,9 @@ select message_id, subject, round(dist, 4) as dist from found""",
         "semantic_batch": f"""with asked as (
   select vec_id, embedding from embeddings order by vec_id limit {q.BATCH_QUERIES}),
 scored as (
-  select concat('q', a.vec_id) as query, {ID} as message_id,
+  select concat('q', a.vec_id) as query, {VECTOR_ID} as message_id,
     list_cosine_distance(e.embedding::double[], a.embedding::double[]) as dist
-  from embeddings e join documents d on d.doc_id = e.vec_id cross join asked a),
+  from {VECTORS} cross join asked a),
 ranked as (
   select *, row_number() over (partition by query order by dist, message_id) as rank from scored)
 select query, message_id, round(dist, 4) as dist, cast(rank as integer) as rank

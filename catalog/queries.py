@@ -13,7 +13,7 @@ from mailspark.plans import ingest as loading
 from mailspark.plans import message_view, reports
 from mailspark.plans.mail_search import search_mail
 from mailspark.session import shared_dir
-from mailspark.sources import mbox, tables
+from mailspark.sources import mbox, ranges, tables
 
 # Inputs a user would type; the SQL in oracles.py uses the same.
 LOOKUP_ID = "<1@src1.example.com>"
@@ -155,19 +155,18 @@ def documents_sink(spark, sf_dir):
 
 @registered
 def raw_message(spark, sf_dir):
-    row = search.point_lookup(fx.emails(spark, sf_dir), LOOKUP_ID).first()
-    raw = fx.plain_raw(spark, sf_dir)
-    if row is None:
-        return raw.limit(0).select(F.md5("raw").alias("raw_md5"))
-    found = mbox.find_raw(raw, row["mbox_file_id"], row["email_start"], row["email_end"])
-    return found.select(F.md5("raw").alias("raw_md5"))
+    emails, files = fx.located_emails(spark, sf_dir)
+    found = ranges.find_raw_batch(files, search.point_lookup(emails, LOOKUP_ID))
+    return found.select("email_start", "email_end", F.md5("raw").alias("raw_md5"))
 
 
 @registered
 def raw_message_batch(spark, sf_dir):
-    regions = search.select_matching(fx.emails(spark, sf_dir), sent=True)
-    found = mbox.find_raw_batch(fx.plain_raw(spark, sf_dir), regions)
-    return found.select("mbox_file_id", "email_start", "email_end", F.md5("raw").alias("raw_md5"))
+    emails, files = fx.located_emails(spark, sf_dir)
+    found = ranges.find_raw_batch(files, search.select_matching(emails, sent=True))
+    return found.select(
+        fx.archive_of("path").alias("archive"), "email_start", "email_end", F.md5("raw").alias("raw_md5")
+    )
 
 
 @registered
@@ -318,8 +317,8 @@ def thread_sizes(spark, sf_dir):
 
 @registered
 def thread_enriched(spark, sf_dir):
-    emails, raw = fx.emails(spark, sf_dir), fx.plain_raw(spark, sf_dir)
-    rows = message_view.thread_with_content(emails, raw, THREAD)
+    emails, files = fx.located_emails(spark, sf_dir)
+    rows = message_view.thread_with_content(emails, files, THREAD)
     return rows.select(
         "message_id", "date", F.md5("parsed_body").alias("body_md5"),
         F.size("attachments").alias("n_attachments"),
@@ -328,8 +327,8 @@ def thread_enriched(spark, sf_dir):
 
 @registered
 def message_detail(spark, sf_dir):
-    emails, raw = fx.emails(spark, sf_dir), fx.plain_raw(spark, sf_dir)
-    detail = message_view.message_detail(emails, raw, LOOKUP_ID)
+    emails, files = fx.located_emails(spark, sf_dir)
+    detail = message_view.message_detail(emails, files, LOOKUP_ID)
     shown = detail.message.select(
         "message_id", "subject", "from_email", "date", "has_attachment", "thread_id",
         F.col("parsed_body").alias("email_content"), F.size("attachments").alias("n_attachments"),
@@ -377,9 +376,8 @@ def attachment_counts(spark, sf_dir):
 
 @registered
 def attachment_lookup(spark, sf_dir):
-    found = message_view.attachment(
-        fx.conversation_emails(spark, sf_dir), fx.conversation_messages(spark, sf_dir), *ATTACHMENT
-    )
+    places, files = fx.located(spark, fx.conversation_files(spark, sf_dir))
+    found = message_view.attachment(places, files, *ATTACHMENT)
     return found.select(
         "message_id", "filename", "content_type", "size_bytes", F.md5("content").alias("content_md5")
     )

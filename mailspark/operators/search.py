@@ -15,7 +15,8 @@ RECENT_ROWS = 30
 
 
 def _newest_first(emails):
-    return emails.orderBy(F.desc_nulls_last("date"), F.asc_nulls_last("message_id"))
+    order = [F.desc_nulls_last("date"), F.asc_nulls_last("message_id")]
+    return emails.orderBy(*order, "mbox_file_id", "email_start")  # the place tells equal ids apart
 
 
 # -- the search language ------------------------------------------------------

@@ -82,7 +82,7 @@ def ingest(
     records, index, count = indexed_archive(spark, paths)
     loaded = None if drop_previous else tables.loaded_files(spark, root)
     index = _written(_to_load(index, loaded), shared_dir(spark, "to-load"))
-    batch = index.filter("is_valid").select("mbox_file_id").distinct()
+    batch = index.filter("is_valid").groupBy("mbox_file_id").agg(F.min("path").alias("path"))
     if not batch.isEmpty():
         raw = mbox.raw_messages(records, index, count)
         raw = tables.write_by_file(raw, batch, root, "raw_messages", drop_previous)

@@ -34,6 +34,9 @@ def search_mail(
     a vector and the hits in ``vectors`` are combined with the other filters.
     ``filter_first`` filters all hits and then cuts the page; ``slice_first`` cuts
     the page out of the hits first, so that pages may come out short.
+
+    Pages list rows, and the total counts rows, so every row is on some page even where several
+    messages have one id; with ``slice_first`` pages and total are of ids.
     """
     criteria = search.parse_search(text)
     question = criteria.pop("rag", None)
@@ -43,7 +46,7 @@ def search_mail(
 
     if question is None:
         rows = search.list_page(chosen, page_size, start)
-        total = chosen.agg(F.count_distinct("message_id").alias("total_count"))
+        total = chosen.agg(F.count("*").alias("total_count"))
         return SearchResult(rows, search.page_meta(total, page, page_size))
 
     # one row for each id near enough; joining with the mail once lists every message with that id
@@ -51,11 +54,13 @@ def search_mail(
     small = F.broadcast if n_results <= semantic.HITS_TO_BROADCAST else (lambda frame: frame)
     by_distance = [F.col("dist"), F.col("message_id")]
     if mode == "slice_first":
-        cut = hits.orderBy(*by_distance).offset(start).limit(page_size)
+        # vectors without mail take no place on a page
+        listed = emails.select("message_id").join(small(hits), "message_id").distinct()
+        cut = listed.orderBy(*by_distance).offset(start).limit(page_size)
         rows = chosen.join(small(cut), "message_id").orderBy(*by_distance)
-        total = hits.agg(F.count("*").alias("total_count"))
+        total = listed.agg(F.count("*").alias("total_count"))
     else:
         found = chosen.join(small(hits), "message_id")
-        rows = found.orderBy(*by_distance).offset(start).limit(page_size)
-        total = found.agg(F.count_distinct("message_id").alias("total_count"))
+        rows = found.orderBy(*by_distance, "mbox_file_id", "email_start").offset(start).limit(page_size)
+        total = found.agg(F.count("*").alias("total_count"))
     return SearchResult(rows, search.page_meta(total, page, page_size))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailspark.operators import content, search, threads
-from mailspark.sources.mbox import find_raw_batch
+from mailspark.sources.ranges import find_raw_batch
 
 
 class MessageDetail(NamedTuple):
@@ -17,15 +17,15 @@ class MessageDetail(NamedTuple):
     thread: DataFrame
 
 
-def content_of(emails, raw):
-    """Parsed content of some messages: the raw rows are picked before parsing."""
-    return content.contents(content.parse_messages(find_raw_batch(raw, emails)))
+def content_of(emails, files):
+    """Parsed content of some messages, whose byte ranges are read from their files (mbox_file_id, path)."""
+    return content.contents(content.parse_messages(find_raw_batch(files, emails)))
 
 
-def message_detail(emails, raw, message_id):
+def message_detail(emails, files, message_id):
     """Everything shown for one message; empty frames if it does not exist."""
     found = search.point_lookup(emails, message_id)
-    enriched = threads.enrich(found, content_of(found, raw))
+    enriched = threads.enrich(found, content_of(found, files))
     thread = threads.thread_of_message(emails, message_id)
     attached = enriched.select(
         "message_id", F.posexplode("attachments").alias("ordinal", "attachment")
@@ -33,14 +33,14 @@ def message_detail(emails, raw, message_id):
     return MessageDetail(enriched, attached, thread)
 
 
-def thread_with_content(emails, raw, thread_id):
+def thread_with_content(emails, files, thread_id):
     """All messages of a thread with body and attachments, oldest first."""
     members = threads.thread_members(emails, thread_id)
-    enriched = threads.enrich(members, content_of(members, raw))
+    enriched = threads.enrich(members, content_of(members, files))
     return enriched.orderBy(F.asc_nulls_last("date"), "message_id")
 
 
-def attachment(emails, raw, message_id, filename):
+def attachment(emails, files, message_id, filename):
     """One attachment of one message by exact file name."""
     found = search.point_lookup(emails, message_id)
-    return content.find_attachment(content_of(found, raw), message_id, filename)
+    return content.find_attachment(content_of(found, files), message_id, filename)

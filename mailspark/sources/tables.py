@@ -118,14 +118,14 @@ def _by_file(spark, path):
 
 
 def loaded_files(spark, root):
-    """(mbox_file_id) of the files that are loaded in full, or None before the first."""
+    """(mbox_file_id, path) of the files that are loaded in full, or None before the first."""
     path = os.path.join(root, "loaded_files")
-    return spark.read.schema("mbox_file_id string").parquet(path) if exists(spark, path) else None
+    return spark.read.schema("mbox_file_id string, path string").parquet(path) if exists(spark, path) else None
 
 
 def write_loaded(batch, root, drop_previous=False):
-    """Note that the files of ``batch`` are loaded in full."""
-    batch.select("mbox_file_id").write.mode(_mode(drop_previous)).parquet(os.path.join(root, "loaded_files"))
+    """Note that the files of ``batch`` are loaded in full, and where they lie."""
+    batch.select("mbox_file_id", "path").write.mode(_mode(drop_previous)).parquet(os.path.join(root, "loaded_files"))
 
 
 def open_archive(spark, root, views=False):

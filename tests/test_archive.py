@@ -120,24 +120,33 @@ def test_header_dates_whatever_the_session_zone(spark, zone):
 
 
 @pytest.fixture
-def raw(spark):
-    message = b"Message-ID: %s\n\nbody of %s\n"
+def files(spark, tmp_path):
+    """A mail file with the first two messages of the sample at their places."""
     places = [(b"<1@x>", 0, 64), (b"<2@x>", 64, 264)]
-    rows = [("f", "p", start, end, bytearray(message % (i, i))) for i, start, end in places]
-    return spark.createDataFrame(rows, schemas.RAW_MESSAGES)
+    content = b""
+    for name, start, end in places:
+        message = b"From x\nMessage-ID: %s\n\nbody of %s" % (name, name)
+        content += message + b"." * (end - start - len(message) - 1) + b"\n"
+    (tmp_path / "mail").write_bytes(content)
+    return spark.createDataFrame([("f", str(tmp_path / "mail"))], "mbox_file_id string, path string")
 
 
-def test_message_detail(sample, raw):
-    detail = message_view.message_detail(sample, raw, "<2@x>")
-    row = detail.message.first()
-    assert row["parsed_body"] == "body of <2@x>\n" and row["attachments"] == []
-    assert detail.attachments.count() == 0 and ids(detail.thread) == ["<2@x>"]
-    assert message_view.message_detail(sample, raw, "missing").message.count() == 0
+def body_of(row):
+    return row["parsed_body"].rstrip(".\n")
 
 
-def test_thread_keeps_rows_without_content(sample, raw):
-    (row,) = message_view.thread_with_content(sample, raw, "scores").collect()
+def test_message_detail(sample, files):
+    seen = message_view.message_detail(sample.filter("message_id <> '<3@x>'"), files, "<2@x>")
+    row = seen.message.first()
+    assert body_of(row) == "body of <2@x>" and row["attachments"] == []
+    assert seen.attachments.count() == 0 and ids(seen.thread) == ["<2@x>"]
+    assert message_view.message_detail(sample, files, "missing").message.count() == 0
+
+
+def test_thread_keeps_rows_without_content(sample, files):
+    elsewhere = sample.withColumn("mbox_file_id", F.when(F.col("message_id") == "<3@x>", "gone").otherwise("f"))
+    (row,) = message_view.thread_with_content(elsewhere, files, "scores").collect()
     assert (row["message_id"], row["parsed_body"]) == ("<3@x>", None)
-    (row,) = message_view.thread_with_content(sample, raw, "rehearsal").collect()
-    assert row["parsed_body"] == "body of <1@x>\n"
-    assert message_view.thread_with_content(sample, raw, "missing").count() == 0
+    (row,) = message_view.thread_with_content(elsewhere, files, "rehearsal").collect()
+    assert body_of(row) == "body of <1@x>"
+    assert message_view.thread_with_content(sample, files, "missing").count() == 0

@@ -157,35 +157,3 @@ def test_equal_files_are_both_read(spark, tmp_path):
     save(tmp_path, "a", content), save(tmp_path, "b", content)
     raw = read_archive(spark, str(tmp_path))
     assert raw.count() == 16 and raw.select("mbox_file_id").distinct().count() == 1
-
-
-def test_ranges_are_read_back(spark, tmp_path):
-    content = random_archive(7, 12, True)
-    raw = read_archive(spark, save(tmp_path, "a", content))
-    start, end, expected = line_scan(content)[4]
-    file_id = raw.first()["mbox_file_id"]
-    assert bytes(mbox.find_raw(raw, file_id, start, end).first()["raw"]) == expected
-    regions = raw.filter(F.col("email_start") > 300).select("mbox_file_id", "email_start", "email_end")
-    batch = mbox.find_raw_batch(raw, regions).collect()
-    assert {bytes(r["raw"]) for r in batch} == {c for s, e, c in line_scan(content) if s > 300}
-
-
-@pytest.mark.parametrize("push, send", [(50, 100_000), (1, 100_000), (1, 1)])
-def test_many_ranges_by_filter_broadcast_or_join(spark, tmp_path, monkeypatch, push, send):
-    monkeypatch.setattr(mbox, "RANGES_TO_PUSH", push)
-    monkeypatch.setattr(mbox, "RANGES_TO_BROADCAST", send)
-    content = random_archive(8, 20, True)
-    raw = read_archive(spark, save(tmp_path, "a", content))
-    path = str(tmp_path / "raw")
-    raw.write.parquet(path)
-    raw = spark.read.parquet(path)
-    wanted = {e[:2] for e in line_scan(content)[3:9]}
-    regions = raw.select("mbox_file_id", "email_start", "email_end").filter(
-        F.col("email_start").isin([s for s, _ in wanted])
-    )
-    doubled = regions.unionByName(regions)
-    found = mbox.find_raw_batch(raw, doubled)
-    assert sorted((r["email_start"], r["email_end"]) for r in found.collect()) == sorted(wanted)
-    assert mbox.find_raw_batch(raw, regions.limit(0)).count() == 0
-    if push == 50:
-        assert "EqualTo(email_start" in found._jdf.queryExecution().executedPlan().toString()

@@ -176,3 +176,15 @@ def test_normalised_fills_defaults_and_keeps_rows(emails_of):
     assert (row["subject"], row["labels"], row["thread_id"], row["date"]) == ("", [], "", None)
     with pytest.raises(KeyError, match="email_end"):
         search.normalised(emails.drop("email_end"))
+
+
+def test_every_row_of_a_repeated_id_is_on_some_page(emails_of, spark):
+    emails = emails_of(*[{"message_id": "same", "email_start": n, "email_end": n + 1} for n in range(8)])
+    pages = [search_mail(emails, "subject:choir", page=n, page_size=5) for n in (1, 2)]
+    assert sorted(r["email_start"] for p in pages for r in p.page.collect()) == list(range(8))
+    assert [tuple(p.meta.first())[2:4] for p in pages] == [(8, True), (8, False)]
+    vectors = spark.createDataFrame([("same", [1.0, 0.0]), ("no mail", [1.0, 0.0])], "message_id string, vec array<float>")
+    pages = [semantic(emails, vectors, "rag:x", page=n) for n in (1, 2)]
+    assert sorted(r["email_start"] for p in pages for r in p.page.collect()) == list(range(8))
+    sliced = semantic(emails, vectors, "rag:x", mode="slice_first")
+    assert sliced.meta.first()["total_count"] == 1 and sliced.page.count() == 8
