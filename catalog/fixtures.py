@@ -100,6 +100,22 @@ def emails(spark, sf_dir):
     )
 
 
+def saved_searches(spark, sf_dir):
+    """A table of searches, one made of each message: by sender, part of the subject, label and sender, a
+    stretch of time, free text."""
+    mail = emails(spark, sf_dir)
+    kind = F.expr("cast(substring_index(substring(message_id, 2), '@', 1) as bigint) % 5")
+    day = F.coalesce(F.date_format("date", "yyyy-MM-dd"), F.lit("1997-01-31"))
+    text = (
+        F.when(kind == 0, F.concat(F.lit('from:"'), F.substring_index("from_email", "@", 1), F.lit('@"')))
+        .when(kind == 1, F.concat(F.lit('subject:"'), F.substring("subject", 5, 12), F.lit('"')))
+        .when(kind == 2, F.concat(F.lit("from:src3. label:"), F.element_at("labels", 1)))
+        .when(kind == 3, F.concat(F.lit("from_date:1998-06-15 to_date:"), day))
+        .otherwise(F.concat(F.substring("excerpt", 3, 10), F.lit(" to_date:"), day))
+    )
+    return mail.select(F.col("message_id").alias("search_id"), F.coalesce(text, F.lit("from:nobody")).alias("search"))
+
+
 def documents(spark, sf_dir):
     """The text collection (message_id, text)."""
     return table(spark, sf_dir, "documents").select(_message_id().alias("message_id"), "text")

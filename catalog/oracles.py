@@ -4,6 +4,7 @@ from catalog import queries as q
 from catalog.fixtures import ARCHIVE_DOCS, FILE_DOCS, SLOT
 from mailspark.functions import text as t
 from mailspark.operators import search as s
+from mailspark.operators import vector_index as v
 
 ID = "concat('<', cast(d.doc_id as varchar), '@', d.source, '.example.com>')"
 
@@ -297,6 +298,28 @@ select count(distinct message_id) as email_count from emails where {SEARCH_SQL}"
                 ),
             ]
         ),
+        "filter_indexed": _emails(" and ".join(f"{c} like '%{x}%'" for c, x in q.INDEXED.items())),
+        "search_batch_table": f"""with {EMAILS},
+searches as (
+  select message_id as search_id, doc % 5 as kind, coalesce(strftime(date, '%Y-%m-%d'), '1997-01-31') as day,
+    split_part(from_email, '@', 1) || '@' as sender, nullif(substr(subject, 5, 12), '') as part,
+    nullif(labels[1], '') as label, nullif(regexp_replace(substr(excerpt, 3, 10), '^\\s+|\\s+$', '', 'g'), '') as free
+  from (select *, cast(split_part(substr(message_id, 2), '@', 1) as bigint) as doc from emails)),
+asked as (
+  select search_id,
+    case kind when 0 then coalesce(sender, 'nobody') when 2 then 'src3.' end as sender,
+    case kind when 1 then part end as part,
+    case kind when 2 then label end as label,
+    case when kind = 4 then free when kind = 2 and label is null then 'label:' end as free,
+    case when kind = 3 then timestamp '1998-06-15' end as low,
+    case when kind >= 3 then cast(day as timestamp) end as high
+  from searches)
+select search_id, message_id, date from asked join emails on
+  (sender is null or from_email like '%' || sender || '%')
+  and (part is null or subject like '%' || part || '%')
+  and (label is null or list_contains(labels, label))
+  and (free is null or excerpt like '%' || free || '%')
+  and (low is null or date >= low) and (high is null or date <= high)""",
         "hybrid_search": f"""with {EMAILS}, {HITS}, {FOUND}
 select {SHOWN}, round(dist, 4) as dist from found where list_contains(labels, 'en')
 order by dist, message_id limit 20""",
@@ -386,6 +409,32 @@ ranked as (
   select *, row_number() over (partition by query order by dist, message_id) as rank from scored)
 select query, message_id, round(dist, 4) as dist, cast(rank as integer) as rank
 from ranked where rank <= {q.BATCH_NEAREST}""",
+        "semantic_lsh": f"""with vectors as (
+  select {VECTOR_ID} as message_id, e.vec_id, e.embedding::double[] as v from {VECTORS}),
+places as (select unnest(range((select max(len(v)) from vectors))) as i),
+slots as (
+  select t, b, (t * {q.INDEX_BITS} + b) * {v.STEP_PLANE} as plane
+  from range({q.INDEX_TABLES}) x(t) cross join range({q.INDEX_BITS}) y(b)),
+signs as (select t, b, i, (plane + i * {v.STEP_PLACE} + 1) % {v.PRIME} as x from slots cross join places),
+planes as (
+  select t, b, list(case when (x * x % {v.PRIME} * {v.FACTOR} + x) % {v.PRIME} % 2 = 0 then 1.0 else -1.0 end order by i)::double[] as w
+  from signs group by t, b),
+sums as (select vec_id, message_id, t, b, list_dot_product(v, w) as s from vectors cross join planes),
+buckets as (
+  select vec_id, message_id, t, cast(sum(case when s >= 0 then 1 << b else 0 end) as bigint) as bucket
+  from sums group by all),
+nearest_bits as (
+  select t, b, row_number() over (partition by t order by abs(s), b) - 1 as r from sums where vec_id = 0),
+masks as (
+  select t, m, cast(coalesce(sum(1 << b) filter ((m >> r) % 2 = 1), 0) as bigint) as mask
+  from nearest_bits cross join range({1 << q.INDEX_TURNED}) x(m) where r < {q.INDEX_TURNED} group by t, m),
+probes as (
+  select t, xor(bucket, mask) as bucket from buckets join masks using (t) where vec_id = 0),
+scored as (
+  select message_id, list_cosine_distance(v, (select v from vectors where vec_id = 0)) as dist
+  from vectors where vec_id in (select vec_id from buckets join probes using (t, bucket)))
+select message_id, round(min(dist), 4) as dist from scored
+group by message_id order by min(dist), message_id limit {q.BATCH_NEAREST}""",
         "rerank_best": f"""with {HITS},
 words as (
   select message_id, d.text,

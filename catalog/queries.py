@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from mailspark.functions.dates import header_timestamp
 from mailspark.functions.text import html_to_text
-from mailspark.operators import content, search, semantic, stats, threads
+from mailspark.operators import (
+    content, saved_searches, search, semantic, stats, text_index, threads, vector_index,
+)
 from mailspark.plans import ingest as loading
 from mailspark.plans import message_view, reports
 from mailspark.plans.mail_search import search_mail
@@ -38,6 +40,9 @@ NEAREST = 100
 MAX_DISTANCE = 0.8
 BATCH_QUERIES = 5
 BATCH_NEAREST = 10
+INDEX_BLOCK = 256
+INDEXED = {"from_email": "u1_%@src1", "subject": "tion%ing"}
+INDEX_TABLES, INDEX_BITS, INDEX_TURNED = 6, 4, 2
 RERANK_QUERY = "the of and que de la"
 ADDED_SINCE = "1998-01-01"
 
@@ -268,6 +273,20 @@ def search_batch(spark, sf_dir):
     return hits.select("search", "message_id", "date")
 
 
+@registered
+def search_batch_table(spark, sf_dir):
+    emails = fx.emails(spark, sf_dir)
+    hits = saved_searches.search_table(emails, fx.saved_searches(spark, sf_dir))
+    return hits.select("search_id", "message_id", "date")
+
+
+@registered
+def filter_indexed(spark, sf_dir):
+    path = shared_dir(spark, "text-index")
+    index = text_index.build_text_index(fx.emails(spark, sf_dir), path, block=INDEX_BLOCK)
+    return _shown(index.search(INDEXED))
+
+
 def _hybrid(mode):
     def query(spark, sf_dir):
         result = search_mail(
@@ -488,8 +507,9 @@ def semantic_batch(spark, sf_dir):
 
 @registered
 def semantic_lsh(spark, sf_dir):
-    index = semantic.approximate_index(fx.vectors(spark, sf_dir))
-    hits = index.nearest(fx.query_vector(spark, sf_dir), BATCH_NEAREST)
+    path = shared_dir(spark, "vector-index")
+    index = vector_index.build_index(fx.vectors(spark, sf_dir), path, INDEX_TABLES, INDEX_BITS)
+    hits = index.nearest(fx.query_vector(spark, sf_dir), BATCH_NEAREST, INDEX_TURNED)
     return hits.withColumn("dist", F.round("dist", 4))
 
 

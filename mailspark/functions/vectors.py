@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 
-def _unit_rows(vectors):
+def unit_rows(vectors):
+    """Vectors of length one; NaN for a vector without a direction."""
     matrix = np.asarray(vectors, dtype="float64")
     with np.errstate(invalid="ignore", divide="ignore"):
         return matrix / np.linalg.norm(matrix, axis=-1, keepdims=True)
@@ -21,27 +22,16 @@ def _distances(vectors, unit_queries):
     out = np.full((len(vectors), len(unit_queries)), np.nan)
     present = vectors.notna().to_numpy()
     if present.any():
-        out[present] = 1.0 - _unit_rows(np.stack(vectors[present])) @ unit_queries.T
+        out[present] = 1.0 - unit_rows(np.stack(vectors[present])) @ unit_queries.T
     return out
 
 
 def cosine_distance(column, query):
     """Distance of each vector to one query vector; NULL for a NULL vector."""
-    unit_query = _unit_rows([query])
+    unit_query = unit_rows([query])
 
     @F.pandas_udf("double")
     def distance(vectors: pd.Series) -> pd.Series:
         return pd.Series(_distances(vectors, unit_query)[:, 0])  # NaN arrives as NULL
 
     return distance(column)
-
-
-def cosine_distances(column, queries):
-    """Array of distances of each vector to every query vector, in order."""
-    unit_queries = _unit_rows(queries)
-
-    @F.pandas_udf("array<double>")
-    def distances(vectors: pd.Series) -> pd.Series:
-        return pd.Series(list(_distances(vectors, unit_queries)))
-
-    return distances(column)

@@ -6,14 +6,16 @@ numbers: user input, one or a few, so they travel inside the plan.
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mailspark.functions.text import token_overlap, tokens
-from mailspark.functions.vectors import cosine_distance, cosine_distances
+from mailspark.functions.vectors import cosine_distance, unit_rows
 
 # Prompts put before what is embedded, defaults of the search.
 QUERY_PREFIX = "task: search result | query: "
@@ -25,6 +27,9 @@ MAX_DISTANCE = 0.5
 # Hit lists up to this many rows are sent to all tasks of a join.
 HITS_TO_BROADCAST = 10_000
 
+# Queries that one matrix product answers.
+QUERIES_AT_ONCE = 256
+
 
 # -- embedding ----------------------------------------------------------------
 
@@ -113,59 +118,41 @@ def semantic_search(emails, vectors, query, n=RESULTS, max_distance=MAX_DISTANCE
 
 
 def nearest_to_each(vectors, queries, n=RESULTS):
-    """The n nearest messages for each of several queries (name -> vector).
-
-    One pass: each row carries its distances to all queries, and every task
-    keeps its own n best per query before anything is shuffled.
-    """
-    names = F.array(*[F.lit(name) for name in queries])
-    dists = cosine_distances(F.col("vec"), list(queries.values()))
-    best = Window.partitionBy("query").orderBy(F.asc_nulls_last("dist"), "message_id")
-    return (
-        vectors.filter(F.col("vec").isNotNull())
-        .select("message_id", names.alias("query"), dists.alias("dist"))
-        .select("message_id", F.explode(F.arrays_zip("query", "dist")).alias("hit"))
-        .select("hit.query", "message_id", "hit.dist")
-        .withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= n)
-    )
-
-
-# -- approximate search -------------------------------------------------------
-
+    """The n nearest messages for each of several queries (name -> vector), with their ranks.
 
-class ApproximateIndex:
-    """Random-projection buckets over unit vectors; near vectors share buckets.
-
-    ``frame`` holds the vectors with their buckets and can be written and reread.
+    Every task keeps its n best of each query while batches go by, a block of queries at a time, so that at
+    most tasks times queries times n rows are shuffled. Equal distances go by message id, vectors without a
+    direction come last.
     """
-
-    def __init__(self, model, frame):
-        self.model, self.frame = model, frame
-
-    def nearest(self, query, n=RESULTS):
-        unit = Normalizer(inputCol="v", outputCol="u", p=2.0).transform(
-            self.frame.sparkSession.createDataFrame([(list(map(float, query)),)], "q array<double>")
-            .select(array_to_vector("q").alias("v"))
-        )
-        hits = self.model.approxNearestNeighbors(
-            self.frame, unit.first()["u"], n, distCol="euclid"
-        )
-        # On unit vectors cosine distance is half the squared Euclidean one.
-        return hits.select("message_id", (F.col("euclid") ** 2 / 2).alias("dist"))
-
-
-def approximate_index(vectors, bucket_length=0.5, tables=8, seed=42):
-    """Bucket all vectors once, for many approximate searches."""
-    dense = vectors.filter(F.col("vec").isNotNull()).select(
-        "message_id", array_to_vector(F.col("vec").cast("array<double>")).alias("dense")
-    )
-    unit = Normalizer(inputCol="dense", outputCol="unit", p=2.0).transform(dense).drop("dense")
-    model = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="buckets", bucketLength=bucket_length,
-        numHashTables=tables, seed=seed,
-    ).fit(unit)
-    return ApproximateIndex(model, model.transform(unit))
+    names, units = list(queries), unit_rows(list(queries.values()))
+
+    def run(batches):
+        best = [(np.zeros(0), np.zeros(0, object)) for _ in names]
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            matrix = unit_rows(np.stack(batch.column(1).to_numpy(zero_copy_only=False)))
+            for at in range(0, len(names), QUERIES_AT_ONCE):
+                dists = 1.0 - matrix @ units[at : at + QUERIES_AT_ONCE].T
+                for k, own in enumerate(dists.T, at):
+                    best[k] = _least(np.append(best[k][0], own), np.append(best[k][1], ids), n)
+        for name, (dist, ids) in zip(names, best, strict=True):
+            found = [pa.array([name] * len(ids), pa.string()), pa.array(ids, pa.string()), pa.array(dist, pa.float64(), from_pandas=True)]
+            yield pa.RecordBatch.from_arrays(found, ["query", "message_id", "dist"])
+
+    present = vectors.filter(F.col("vec").isNotNull()).select("message_id", "vec")
+    partial = present.mapInArrow(run, "query string, message_id string, dist double")
+    order = Window.partitionBy("query").orderBy(F.asc_nulls_last("dist"), "message_id")
+    return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+
+
+def _least(dists, ids, n):
+    """The n least distances with their ids; NaN is larger than all numbers, equal distances go by id."""
+    keys = np.where(np.isnan(dists), np.inf, dists)
+    if len(keys) > n:
+        live = np.flatnonzero(keys <= np.partition(keys, n - 1)[n - 1])
+        dists, ids, keys = dists[live], ids[live], keys[live]
+    order = sorted(range(len(keys)), key=lambda i: (keys[i], ids[i] is not None, ids[i] or ""))[:n]
+    return dists[order], ids[order]
 
 
 # -- reranking ----------------------------------------------------------------

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from mail_rows import ids
 from mailspark.functions.text import token_overlap, tokens
 from mailspark.functions.vectors import cosine_distance
-from mailspark.operators import semantic
+from mailspark.operators import semantic, vector_index
 
 
 @pytest.fixture(scope="module")
@@ -65,14 +65,50 @@ def test_bound_applies_after_the_nearest_n(sample, spark):
     assert semantic.semantic_search(sample, vectors, None).columns == found.columns
 
 
-def test_approximate_search_recall(cloud):
+def test_approximate_search_recall_and_pruning(spark, cloud, tmp_path):
     data, vectors = cloud
-    index = semantic.approximate_index(vectors)
-    exact = set(ids(semantic.nearest(vectors, data[9].tolist(), 10)))
-    hits = index.nearest(data[9].tolist(), 10).collect()
-    assert len(exact & {r["message_id"] for r in hits}) >= 8
-    distance = dict(zip((f"m{n:03}" for n in range(400)), brute(data, data[9])))
-    assert all(abs(r["dist"] - distance[r["message_id"]]) < 1e-5 for r in hits)
+    index = vector_index.build_index(vectors, str(tmp_path / "index"), tables=8, bits=4)
+    distance, hits = dict(zip((f"m{n:03}" for n in range(400)), brute(data, data[9]))), 0
+    for n in range(0, 400, 40):
+        exact = set(ids(semantic.nearest(vectors, data[n].tolist(), 10)))
+        hits += len(exact & set(ids(index.nearest(data[n].tolist(), 10))))
+    assert hits >= 80
+    found = index.nearest(data[9].tolist(), 10).collect()
+    assert all(abs(r["dist"] - distance[r["message_id"]]) < 1e-5 for r in found)
+    candidates = index.candidates(data[9].tolist())
+    plan = candidates._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [((" in plan and "bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert candidates.select("table_no", "bucket").distinct().count() <= 8 * 2**vector_index.TURNED
+    all_rows = index.nearest(data[9].tolist(), 400, turned=4)  # every bucket
+    assert set(ids(all_rows)) == set(ids(vectors.filter("vec is not null")))
+
+
+def test_index_of_odd_vectors(spark, tmp_path):
+    rows = [("a", [1.0, 0.0]), ("b", None), ("zero", [0.0, 0.0]), ("a", [0.9, 0.1])]
+    vectors = spark.createDataFrame(rows, "message_id string, vec array<float>")
+    index = vector_index.build_index(vectors, str(tmp_path / "i"))
+    assert ids(index.nearest([1.0, 0.0], 5, turned=9)) == ["a"] and index.bits == 1
+    none = vector_index.build_index(vectors.limit(0), str(tmp_path / "n"))
+    assert none.nearest([1.0], 5).count() == 0
+    with pytest.raises(ValueError):
+        vector_index.build_index(vectors.union(spark.createDataFrame([("c", [1.0])], vectors.schema)), str(tmp_path / "w"))
+    assert [vector_index.bits_for(n) for n in (0, 4096, 10**6, 10**10)] == [1, 1, 8, 22]
+
+
+def test_nearest_to_each_in_blocks(spark, cloud, monkeypatch):
+    monkeypatch.setattr(semantic, "QUERIES_AT_ONCE", 3)
+    data, vectors = cloud
+    extra = spark.createDataFrame([("zero", [0.0] * data.shape[1]), ("m000", data[0].tolist()), ("none", None)], vectors.schema)
+    asked = {f"q{n}": data[n].tolist() for n in range(8)}
+    found = {}
+    for r in semantic.nearest_to_each(vectors.union(extra).repartition(3), asked, 4).orderBy("query", "rank").collect():
+        found.setdefault(r["query"], []).append(r["message_id"])
+    names = [f"m{n:03}" for n in range(400)] + ["m000"]
+    for n in range(8):
+        dist = brute(np.vstack((data, data[:1])), data[n])
+        assert found[f"q{n}"] == [names[i] for i in sorted(range(401), key=lambda i: (round(dist[i], 12), names[i]))[:4]]
+    every = semantic.nearest_to_each(extra, {"q": data[1].tolist()}, 9).orderBy("rank").collect()
+    assert [(r["message_id"], r["dist"] is None) for r in every] == [("m000", False), ("zero", True)]
 
 
 def test_hashed_terms(spark):
@@ -119,4 +155,4 @@ def test_hybrid_search_lists_repeated_ids_once_each(spark, emails_of):
     vectors = spark.createDataFrame([("<r@x>", [1.0, 0.0])] * 3, "message_id string, vec array<float>")
     found = search_mail(mail, "rag:anything", vectors=vectors, embed=lambda text: [1.0, 0.0])
     assert found.page.count() == 3
-    assert found.meta.first()["total_count"] == 1
+    assert found.meta.first()["total_count"] == 3
