@@ -1,9 +1,11 @@
 """Personal data, plain and disguised, found through transducers that keep source offsets.
 
-A transducer rewrites a text and remembers for every character written which source characters it
-stands for. Three run in turn: lookalike letters and invisible characters, spelled digits, and
-disguises of "@" and ".". The detectors run on the source (base spans) and on the rewritten text;
-spans found there are mapped back to the source and added unless a base span of the kind has them.
+A transducer rewrites a text and remembers the source range of every stretch it wrote. Three run in turn:
+lookalike letters and invisible characters, spelled digits, and disguises of "@" and ".". The detectors
+run on the source (base spans) and on the rewritten text; spans found there are mapped back to the source
+and added unless a base span of the kind has them. Whether a disguise is undone depends on its own place
+only: digits are joined where at least one of them is spelled, and a bare word "at", common in prose, stands
+for "@" only before a domain with a disguised dot. There is no limit on lengths, and time is linear in them.
 
 Defined results: a null text is the empty text. Offsets count code points, ends are exclusive. A
 match that fails its check is dropped and its characters aren't tried again. Texts are read whole.
@@ -13,6 +15,7 @@ Repeated rows give repeated results, an empty table none; other columns are not
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -54,21 +57,15 @@ _DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 # only rows of at least three are digits, one word alone is prose
 SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus[ -]+)?(?:{_DIGIT}|[0-9]+)(?:[ .-]+(?:dot[ .-]+|point[ .-]+)?(?:{_DIGIT}|[0-9]+)){{2,}}(?![^\W_])")
 SPELLED_PART = re.compile(rf"(?i)plus|dot|point|{_DIGIT}|[0-9]+|[ .-]+")
-# words without which no rewriting can start; a text is split into words by its bytes
-WATCHED = frozenset(w.encode() for word in (*DIGIT_WORDS, "dot", "punkt", "punto") for w in (word, word.replace("ü", "Ü").replace("é", "É")))
+# a text without any of these has no spelled digits: it is split into words by its bytes
+WATCHED = frozenset(w.encode() for word in (*DIGIT_WORDS, "plus") for w in (word, word.replace("ü", "Ü").replace("é", "É")))
 SPLIT = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
-BRACKETS = (b"(", b"[", b"{", b"<", b"@")
-AT = re.compile(r"(?i)\s*[(\[{<]\s*(?:at|arroba|@)\s*[)\]}>]\s*|\s+(?:at|arroba)\s+|\s+@\s*|\s*@\s+")
-DOT = re.compile(r"(?i)\s*[(\[{<]\s*(?:dot|punkt|point|punto|\.)\s*[)\]}>]\s*|\s+(?:dot|punkt|punto)\s+")
-#: A disguised address: local part, an "at", and labels with at least one disguised or plain dot.
-_LABEL = r"[A-Za-z0-9-]+"
-_ANY_DOT = rf"(?:{DOT.pattern.replace('(?i)', '')}|\.)"
-ADDRESS = re.compile(
-    rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:{_ANY_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,4}}"
-    rf"(?:{AT.pattern.replace('(?i)', '')}|@){_LABEL}(?:{_ANY_DOT}{_LABEL}){{1,6}}"
-)
-DISGUISED_MARK = re.compile(r"(?i)[(\[{<]\s*(?:at|arroba|@|dot|punkt|point|punto|\.)\s*[)\]}>]|\s(?:dot|punkt|punto)\s|@\s|\s@")
-DISGUISED_NUMBER = re.compile(rf"(?i)[0-9]{{1,3}}(?:(?:{DOT.pattern.replace('(?i)', '')}|\.)[0-9]{{1,3}}){{3}}")
+#: Disguises of "@" and "."; white space around them is taken by the code that reads them.
+AT = re.compile(r"(?i)[(\[{<]\s*(?:at|arroba|@)\s*[)\]}>]|(?<=\s)(?:at|arroba)(?=\s)|@")
+DOT = re.compile(r"(?i)[(\[{<]\s*(?:dot|punkt|point|punto|\.)\s*[)\]}>]|(?<=\s)(?:dot|punkt|punto)(?=\s)")
+DOMAIN_LABEL = re.compile(r"[A-Za-z0-9-]+")
+_ANY_DOT = r"(?:\s*[(\[{<]\s*(?:dot|punkt|point|punto|\.)\s*[)\]}>]\s*|\s+(?:dot|punkt|punto)\s+|\.)"
+DISGUISED_NUMBER = re.compile(rf"(?i)(?<![0-9])[0-9]+(?:{_ANY_DOT}[0-9]+){{3}}")
 
 
 def luhn(digits):
@@ -119,27 +116,39 @@ def detect(text):
 
 
 class Tape:
-    """A text under rewriting, with the source range of every character."""
-
-    def __init__(self, text, ranges=None):
-        self.text = text
-        self.ranges = ranges or [(i, i + 1) for i in range(len(text))]
-
-    def replace(self, pattern, new_text):
-        """Rewrite every match; ``new_text`` gives the pieces (start, end, text) of one match."""
-        out, ranges, at = [], [], 0
-        for m in pattern.finditer(self.text):
-            for start, end, new in new_text(m):
-                out.append(self.text[at:start])
-                ranges += self.ranges[at:start]
+    """A text under rewriting; each layer knows where its stretches come from in the text before it."""
+
+    def __init__(self, text, layers=()):
+        self.text, self.layers = text, layers
+
+    def replace(self, pieces):
+        """Rewrite pieces (start, end, new text), in order and apart."""
+        out, layer, at, size = [], ([], [], [], []), 0, 0
+
+        def write(new, start, end, copied=False):  # a copied stretch stands for its source character by character
+            nonlocal size
+            if new:
+                for column, value in zip(layer, (size, start, end, copied), strict=True):
+                    column.append(value)
                 out.append(new)
-                if end > start:
-                    ranges += [(self.ranges[start][0], self.ranges[end - 1][1])] * len(new)
-                at = end
-        return Tape("".join(out) + self.text[at:], ranges + self.ranges[at:])
+                size += len(new)
+
+        for start, end, new in pieces:
+            write(self.text[at:start], at, start, True)
+            write(new, start, end)
+            at = end
+        if not at:
+            return self
+        write(self.text[at:], at, len(self.text), True)
+        return Tape("".join(out), (*self.layers, layer))
 
     def source(self, start, end):
-        return self.ranges[start][0], self.ranges[end - 1][1]
+        for places, starts, ends, copied in reversed(self.layers):
+            first, last = bisect_right(places, start) - 1, bisect_right(places, end - 1) - 1
+            begin = starts[first] + (start - places[first] if copied[first] else 0)
+            stop = starts[last] + end - places[last] if copied[last] else ends[last]
+            start, end = begin, stop
+        return start, end
 
 
 def _looks(c):
@@ -156,53 +165,105 @@ def _looks(c):
 ODD = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + INVISIBLE + r"！-～\U0001d400-\U0001d7ff]|(?![0-9])\d")
 
 
-def _spell(m):
-    pieces, base = [], m.start()
-    for part in SPELLED_PART.finditer(m[0]):
-        word = part[0].lower()
-        if word == "plus":
-            new = "+"
-        elif word in ("dot", "point"):
-            new = "."
-        elif word in DIGIT_WORDS:
-            new = DIGIT_WORDS[word]
-        elif word[0].isdigit():
-            continue
-        else:  # between digits nothing, around a written dot nothing either
-            new = "." if "." in word else ""
-        pieces.append((base + part.start(), base + part.end(), new))
-    return pieces
+def _odd(text):
+    return ((m.start(), m.end(), _looks(m[0])) for m in ODD.finditer(text))
 
 
-def _address(m):
-    pieces = []
-    at = next((a for a in AT.finditer(m[0])), None)
-    if at:
-        pieces.append((at.start(), at.end(), "@"))
-    pieces += [(d.start(), d.end(), ".") for d in DOT.finditer(m[0])]
-    return [(m.start() + a, m.start() + b, new) for a, b, new in sorted(pieces)]
+def _spelled(text):
+    """Digits in words, and the separators in rows of digits of which one at least is spelled."""
+    for m in SPELLED.finditer(text):
+        parts = list(SPELLED_PART.finditer(m[0]))
+        if not any(p[0].lower() in DIGIT_WORDS or p[0].lower() == "plus" for p in parts):
+            continue
+        for part in parts:
+            word = part[0].lower()
+            if word[0].isdigit():
+                continue
+            if word == "plus":
+                new = "+"
+            elif word in DIGIT_WORDS:
+                new = DIGIT_WORDS[word]
+            else:  # between digits nothing, for a written dot one
+                new = "." if word in ("dot", "point") or "." in word else ""
+            yield m.start() + part.start(), m.start() + part.end(), new
+
+
+def _spaces(text, start, end):
+    """A range with the white space around it."""
+    while start and text[start - 1].isspace():
+        start -= 1
+    while end < len(text) and text[end].isspace():
+        end += 1
+    return start, end
+
+
+def _addresses(text):
+    """The "@" and the dots of disguised addresses."""
+    dots = [_spaces(text, m.start(), m.end()) for m in DOT.finditer(text)]
+    dots_at, dots_to = dict(dots), {b: a for a, b in dots}
+    free = 0
+    for m in AT.finditer(text):
+        if m.start() < free:
+            continue
+        at = _spaces(text, m.start(), m.end())
+        start, left = at[0], []
+        while True:  # the local part, backwards
+            inner = start
+            while inner > free and text[inner - 1] in LOCAL:
+                inner -= 1
+            if inner == start:
+                break
+            start = inner
+            if (before := dots_to.get(start)) is None or before <= free:
+                break
+            left.append((before, start))
+            start = before
+        if left and start == left[-1][0]:  # nothing before the last dot
+            start = left.pop()[1]
+        end, right, n = at[1], [], 0
+        while label := DOMAIN_LABEL.match(text, end):
+            end, n = label.end(), n + 1
+            if end in dots_at:
+                after = dots_at[end]
+            elif text.startswith(".", end):
+                after = end + 1
+            else:
+                break
+            if not DOMAIN_LABEL.match(text, after):
+                break
+            if end in dots_at:
+                right.append((end, after))
+            end = after
+        bare = m[0].lower() == "at"
+        if start == at[0] or n < 2 or bare and not right:
+            continue
+        if left or right or at != (m.start(), m.start() + 1):
+            for a, b in reversed(left):
+                yield a, b, "."
+            yield *at, "@"
+            for a, b in right:
+                yield a, b, "."
+        free = end
 
 
-def _dots(m):
-    return [(m.start() + d.start(), m.start() + d.end(), ".") for d in DOT.finditer(m[0])]
+def _numbers(text):
+    for m in DISGUISED_NUMBER.finditer(text):
+        for dot in DOT.finditer(text, m.start(), m.end()):
+            yield *_spaces(text, dot.start(), dot.end()), "."
 
 
 def rewritten(text):
     """The text without disguises as a Tape, or None if it has none."""
-    odd = not text.isascii() and ODD.search(text)
-    data = text.encode("utf-8", "surrogatepass")
-    watched = not WATCHED.isdisjoint(data.lower().translate(SPLIT).split())
-    if not odd and not watched and not any(b in data for b in BRACKETS):
-        return None
-    if not (odd or watched and SPELLED.search(text) or DISGUISED_MARK.search(text)):
-        return None
     tape = Tape(text)
-    if odd:
-        tape = tape.replace(ODD, lambda m: [(m.start(), m.end(), _looks(m[0]))])
-    tape = tape.replace(SPELLED, _spell)
-    if DISGUISED_MARK.search(tape.text):
-        tape = tape.replace(ADDRESS, _address).replace(DISGUISED_NUMBER, _dots)
-    return tape
+    if not text.isascii():
+        tape = tape.replace(_odd(text))
+    words = tape.text.encode("utf-8", "surrogatepass").lower().translate(SPLIT).split()
+    if not WATCHED.isdisjoint(words):
+        tape = tape.replace(_spelled(tape.text))
+    tape = tape.replace(_addresses(tape.text))
+    if DOT.search(tape.text):
+        tape = tape.replace(_numbers(tape.text))
+    return tape if tape.layers else None
 
 
 def find(text):
@@ -211,10 +272,14 @@ def find(text):
     tape = rewritten(text)
     if tape is None:
         return base, base
-    every = list(base)
+    every, starts, ends = list(base), {}, {}
+    for kind, start, end in base:  # spans of a kind don't overlap and come in order
+        starts.setdefault(kind, []).append(start)
+        ends.setdefault(kind, []).append(end)
     for kind, start, end in detect(tape.text):
         a, b = tape.source(start, end)
-        if not any(k == kind and s <= a and b <= e for k, s, e in base):
+        k = bisect_right(starts.get(kind, []), a) - 1
+        if k < 0 or ends[kind][k] < b:
             every.append((kind, a, b))
     return base, sorted(set(every), key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 

@@ -233,6 +233,62 @@ def test_pii(docs, none):
     assert clean[11].text == "<EMAIL>, <PHONE>" and clean[5].text is None and clean[0].text == TEXTS[0]
 
 
+PLAIN = ["word", "met", "at", "dot", "x", "12", "one", "The", ".", "@", "(", "und", "trash.hair", "at home.Then"]
+
+
+def disguised(pick):
+    """(what stands in a text, its kind) of a random identifier in a random disguise."""
+    choose = lambda *options: options[pick.integers(len(options))]
+    kind = choose("email", "ip", "phone", "card")
+    dot = choose(" (dot) ", "[.]", " dot ", "{ punkt }", " [dot]", "(point)")
+    if kind == "email":
+        local = choose(".", dot).join(choose("mary", "j", "x" * 80, "a_b%c") for _ in range(pick.integers(1, 7)))
+        domain = dot.join(["ex"] + [choose("site", "mail", "a-b") for _ in range(pick.integers(0, 8))] + ["org"])
+        return local + choose(" (at) ", "[at]", " at ", " @ ", "@", " arroba ", "<at>") + domain, kind
+    if kind == "ip":
+        return dot.join(str(pick.integers(0, 256)) for _ in range(4)), kind
+    names = {v: k for k, v in pii.DIGIT_WORDS.items() if k.isascii()}
+    if kind == "phone":
+        words = [choose(names[d], d) for d in "49151" + "".join(map(str, pick.integers(0, 10, pick.integers(5, 9))))]
+        return "plus " + choose(" ", "-", "  ").join(words), kind
+    return choose(" ", "-").join([names["4"], *(choose(names["1"], "1") for _ in range(15))]), kind
+
+
+def test_pii_finds_disguises_wherever_they_stand():
+    pick = np.random.default_rng(31)
+    for _ in range(1500):
+        own, kind = disguised(pick)
+        before, after = (" ".join(pick.choice(PLAIN[:2] + PLAIN[7:8], pick.integers(0, 5))) for _ in range(2))
+        for text in (own, f"{before}; {own}; {after}", f"\U0001d54f {own}"):  # the last has an odd letter before it
+            start = text.index(own)
+            spans = [s for s in pii.find(text)[1] if s[0] == kind]
+            assert spans == [(kind, start, start + len(own))], text
+
+
+def test_pii_leaves_prose_alone():
+    pick = np.random.default_rng(32)
+    for _ in range(500):
+        text = " ".join(pick.choice([w for w in PLAIN if w not in ("@", "dot")], 12))
+        assert pii.find(text) == ([], []), text
+
+
+def test_pii_offsets_through_all_layers():
+    text = "𝕏 m\u0430ry (at) ex\u0430mple (dot) org; plus four nine one five one 234 five six 78; \uff14111 1111 1111 1111"
+    assert [(k, text[a:b]) for k, a, b in pii.find(text)[1]] == [
+        ("email", "m\u0430ry (at) ex\u0430mple (dot) org"), ("card", "\uff14111 1111 1111 1111"),
+        ("phone", "plus four nine one five one 234 five six 78"),
+    ]
+
+
+@pytest.mark.parametrize("part", ["( ", " ", "dot ", " at ", "a dot b at ", "one ", "@ ", "a@", "1.", "[ ]"])
+def test_pii_takes_time_in_proportion(part):
+    import time
+
+    start = time.perf_counter()
+    pii.find("mary " + part * 100_000 + "(at) example (dot) com")
+    assert time.perf_counter() - start < 10
+
+
 def test_pii_base_spans_equal_the_patterns():
     pick = np.random.default_rng(3)
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
