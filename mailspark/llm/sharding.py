@@ -1,26 +1,34 @@
 """Shards by balanced label propagation: linked documents move to their neighbours' shards.
 
 The law is `rows`: the rows are numbered, and the number deals them evenly, so counts are at most one
-apart. From then on a row only moves in exchange for another one, which keeps the law in every round.
+apart. From then on every round moves as many rows into a shard as out of it, which keeps the law.
 A hub stands for a set of linked rows (a link between two documents is a hub of two), so no pair
-within a group is ever made. Each round every hub takes the shard most of its rows are in, and its
-other rows ask for that shard. Requests are granted against opposite requests, or else against rows
-without links, by number within (shard, lane); lanes hold a bounded number of rows, so no shard is
-gathered in one task. Hubs larger than part of a shard's quota are split, for no shard could hold them.
+within a group is ever made. Each round every hub takes the shard that most of its rows are in, ties by a
+hash that changes with the round, and its other rows ask for that shard. How many ask from which shard for
+which is a small matrix; from it follow quotas that balance over chains and cycles of any length, rows
+without links making up the difference where there are some. The rows granted are those of the largest gain
+by number within (from, to, lane); lanes hold a bounded number of rows, so no shard is gathered in
+one task. Rounds end when nothing can be granted, or less than one row in FEWEST.
+
+A group of equal texts is split only if it is larger than most of a shard. Every move brings a row to a shard
+with at least as many of its hub as the one it leaves, so the share of cut links only falls.
 
 Defined results: a null text has no bytes (size 8) and equals the empty text. Repeated rows count as
 rows of their own. With fewer rows than shards some shards are empty; an empty table gives no
-rows. Ties go to the smaller shard, then the lower row number. Other columns are not looked at.
+rows. Other columns are not looked at.
 """
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mailspark.llm.common import gapless_rank, written
 
-SHARDS, ROUNDS = 24, 4
-#: A hub has at most this part of a shard's rows; a lane at most so many rows.
-PART_OF_QUOTA, LANE, BUCKET = 4, 200_000, 100_000
+SHARDS = 24
+#: A round that grants less than one move for so many rows is the last.
+FEWEST = 20_000
+#: A hub fills at most this part of a shard; a lane has at most so many rows.
+PART_OF_QUOTA, LANE, BUCKET = 0.9, 200_000, 100_000
 #: A group of equal texts is looked up in at least so many parts.
 SALTS = 64
 LAW = "rows"
@@ -46,7 +54,7 @@ def equal_text_links(rows, total, shards):
 
     Rows meet the size of their group by digest and salt, so a large group lies in as many tasks as salts.
     """
-    most = max(2, total // (shards * PART_OF_QUOTA))
+    most = max(2, int(total / shards * PART_OF_QUOTA))
     salted = rows.select("row", "digest", F.pmod(F.xxhash64("row"), F.lit(SALTS + total // LANE)).alias("salt"))
     held = salted.groupBy("digest", "salt").agg(F.count("*").alias("here"))
     groups = held.groupBy("digest").agg(F.sum("here").alias("n")).filter("n > 1")
@@ -55,46 +63,110 @@ def equal_text_links(rows, total, shards):
     return salted.join(sizes, ["digest", "salt"]).select("row", F.xxhash64("digest", part).alias("hub"))
 
 
-def _number(frame, *keys):
-    order = Window.partitionBy(*keys).orderBy(F.desc("gain"), "row")
-    return frame.withColumn("k", F.row_number().over(order))
+def quotas(asked, free):
+    """(moves granted, moves of rows without links), both by (from, to), that leave every shard's size as it is.
+
+    ``asked`` counts requests by (from, to), ``free`` the rows without links of each shard. All requests are
+    granted at first; a shard that would get more than it gives, beyond its free rows, gets less, until none is left.
+    """
+    granted = asked.copy()
+    while True:
+        net = granted.sum(axis=0) - granted.sum(axis=1)
+        over = net - free
+        to = int(over.argmax())
+        if over[to] <= 0:
+            break
+        for among in (np.maximum(-net, 0), granted[:, to]):  # first from those that would give too much
+            cut = np.minimum(granted[:, to], among)
+            room = np.minimum(np.cumsum(cut), over[to])
+            granted[:, to] -= np.diff(room, prepend=0)
+            over[to] -= room[-1]
+    net = granted.sum(axis=0) - granted.sum(axis=1)
+    filled = np.zeros_like(granted)
+    for a in np.flatnonzero(net > 0):
+        for b in np.flatnonzero(net < 0):
+            n = min(net[a], -net[b])
+            filled[a, b] += n
+            net[a] -= n
+            net[b] += n
+    return granted, filled
+
+
+def _matrix(counts, shards):
+    out = np.zeros((shards, shards), np.int64)
+    for row in counts.collect():  # shards times shards at most
+        out[row["shard"], row["to"]] = row["n"]
+    return out
+
+
+def _first(rows, keys, quota):
+    """The rows of each key whose number is under the key's ``quota``, with that number as ``k``.
+
+    Lanes are numbered one after the other, and only lanes that can hold such rows are sorted.
+    """
+    lanes = rows.groupBy(*keys, "lane").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*keys).orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lanes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    open_lanes = starts.join(F.broadcast(quota), keys).filter("start < quota")
+    order = Window.partitionBy(*keys, "lane").orderBy(F.desc("gain"), "row")
+    numbered_rows = rows.join(open_lanes, [*keys, "lane"]).withColumn("k", F.col("start") + F.row_number().over(order) - 1)
+    return numbered_rows.filter("k < quota")
 
 
-def propagate(state, links, total, rounds=ROUNDS):
+def propagate(state, links, total, shards, fewest=FEWEST):
     """(row, shard, linked) after the rounds; ``state`` (row, shard), ``links`` (row, hub)."""
+    spark = state.sparkSession
     lanes = 1 + total // LANE
     linked = links.select("row").distinct().withColumn("linked", F.lit(True))
     state = state.join(linked, "row", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
     state = written(state.withColumn("lane", F.pmod(F.xxhash64("row"), F.lit(lanes)).cast("int")), "shards")
-    for _ in range(rounds):
+    free = np.zeros(shards, np.int64)
+    for row in state.filter("not linked").groupBy("shard").count().collect():
+        free[row["shard"]] = row["count"]
+    turn = 0
+    while True:
+        turn += 1
         held = links.join(state.filter("linked"), "row").groupBy("hub", "shard").agg(F.count("*").alias("n"))
-        best = held.groupBy("hub").agg(F.max(F.struct("n", (-F.col("shard")).alias("least"))).alias("best"))
+        by_hash = F.xxhash64("hub", "shard", F.lit(turn)).alias("by_hash")
+        best = held.groupBy("hub").agg(F.max(F.struct("n", by_hash, "shard")).alias("best"))
         wishes = (
             links.join(best, "hub")
-            .groupBy("row", (-F.col("best.least")).alias("to"))
+            .groupBy("row", F.col("best.shard").alias("to"))
             .agg(F.sum("best.n").alias("gain"))
             .groupBy("row")
-            .agg(F.max(F.struct("gain", (-F.col("to")).alias("least"))).alias("wish"))
-            .select("row", F.col("wish.gain").alias("gain"), (-F.col("wish.least")).alias("to"))
+            .agg(F.max(F.struct("gain", "to")).alias("wish"))
+            .select("row", "wish.gain", "wish.to")
         )
-        asked = state.join(wishes, "row").filter("shard <> to").select("row", "lane", "shard", "to", "gain")
-        asked = written(_number(asked, "shard", "to", "lane"), "asked")
-        opposite = asked.select(F.col("to").alias("shard"), F.col("shard").alias("to"), "lane", "k")
-        swapped = asked.join(opposite, ["shard", "to", "lane", "k"], "left_semi").select("row", "to")
-        rest = asked.join(opposite, ["shard", "to", "lane", "k"], "left_anti").drop("k")
-        rest = _number(rest, "to", "lane").select("row", "lane", "shard", "to", "k")
-        free = _number(state.filter("not linked").withColumn("gain", F.lit(0)), "shard", "lane")
-        free = free.select(F.col("row").alias("other"), "lane", F.col("shard").alias("to"), "k")
-        pairs = rest.join(free, ["to", "lane", "k"])
-        moves = swapped.union(pairs.select("row", "to")).union(pairs.select(F.col("other"), F.col("shard")))
-        moves = written(moves, "moves")
-        if moves.isEmpty():
-            break
+        asked = written(state.join(wishes, "row").filter("shard <> to").select("row", "lane", "shard", "to", "gain"), "asked")
+        granted, filled = quotas(_matrix(asked.groupBy("shard", "to").agg(F.count("*").alias("n")), shards), free)
+        if granted.sum() <= total // fewest:
+            return state
+        grants = [(int(a), int(b), int(granted[a, b])) for a, b in np.argwhere(granted)]
+        moves = _first(asked, ["shard", "to"], spark.createDataFrame(grants, "shard int, to int, quota long")).select("row", "to")
+        if filled.any():
+            ends = np.cumsum(filled, axis=1)
+            ranges = [(int(a), int(b), int(ends[a, b] - filled[a, b]), int(ends[a, b])) for a, b in np.argwhere(filled)]
+            ranges = spark.createDataFrame(ranges, "shard int, to int, low long, high long")
+            give = spark.createDataFrame([(int(a), int(ends[a, -1])) for a in np.flatnonzero(ends[:, -1])], "shard int, quota long")
+            idle = state.filter("not linked").select("row", "lane", "shard", F.lit(0).alias("gain"))
+            out = _first(idle, ["shard"], give).join(F.broadcast(ranges), "shard").filter("k >= low and k < high")
+            moves = moves.union(out.select("row", "to"))
         state = written(
             state.join(moves, "row", "left").select("row", F.coalesce("to", "shard").alias("shard"), "linked", "lane"),
             "shards",
         )
-    return state
+        free += filled.sum(axis=0) - filled.sum(axis=1)
+
+
+def kept_together(state, links):
+    """(hubs, whole, rows, cut): how many hubs there are and lie in one shard, how many rows they have, and
+    how many of these aren't where most of their hub is."""
+    held = links.join(state, "row").groupBy("hub", "shard").agg(F.count("*").alias("n"))
+    hubs = held.groupBy("hub").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    return hubs.agg(
+        F.count("*").alias("hubs"), F.count_if(F.col("n") == F.col("most")).alias("whole"),
+        F.sum("n").alias("rows"), F.sum(F.col("n") - F.col("most")).alias("cut"),
+    )
 
 
 def shard(docs, shards=SHARDS):
@@ -102,7 +174,7 @@ def shard(docs, shards=SHARDS):
     rows, total = numbered(docs)
     links = written(equal_text_links(rows, total, shards), "links")
     start = rows.select("row", F.pmod("row", F.lit(shards)).cast("int").alias("shard"))
-    ended = propagate(start, links, total).select("row", "shard")
+    ended = propagate(start, links, total, shards).select("row", "shard")
     placed = gapless_rank(ended, "shard", ["row"], "slot", 1 + total // (shards * BUCKET))
     return rows.join(placed.select("row", "shard", "slot"), "row").select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot",
