@@ -330,3 +330,23 @@ def dated_orders(spark, sf_dir):
         .otherwise(F.lit("sometime in autumn"))
     )
     return table(spark, sf_dir, "orders").select("o_orderkey", header.alias("header"))
+
+
+def freely_dated_orders(spark, sf_dir):
+    """Order dates, each with a time of day, as people and programs write them, with the order key."""
+    moment = F.col("o_orderdate") + F.make_dt_interval(secs=(F.col("o_orderkey") % 86_400).cast("decimal(18,6)"))
+    ahead = moment + F.expr("interval 2 hours")
+    number = F.col("o_orderkey") % 10
+    header = (
+        F.when(number == 0, F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(number == 1, F.date_format(ahead, "yyyy-MM-dd HH:mm:ss'+02:00'"))
+        .when(number == 2, F.date_format(moment, "M/d/yyyy HH:mm"))
+        .when(number == 3, F.date_format(moment, "dd/MM/yyyy HH:mm:ss"))
+        .when(number == 4, F.date_format(moment, "d.M.yyyy"))
+        .when(number == 5, F.date_format(moment, "MMMM d, yyyy h:mm a"))
+        .when(number == 6, F.date_format(moment, "EEE MMM d HH:mm:ss yyyy"))
+        .when(number == 7, F.date_format(moment, "dd-MMM-yy HH:mm:ss"))
+        .when(number == 8, F.date_format(moment, "yyyy'-13-'dd"))
+        .otherwise(F.date_format(moment, "yyyyMMdd"))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", header.alias("header"))

@@ -271,6 +271,10 @@ from (select {SHOWN} from emails)""",
             f"message_id in (select {VECTOR_ID} from {VECTORS})"
         ),
         "list_recent": _emails(tail=f"{NEWEST} limit 30"),
+        "list_deep_page": _emails(
+            tail=f"{NEWEST}, mbox_file_id, email_start limit {2 * q.PAGE_SIZE} offset {(q.DEEP_PAGE - 1) * q.PAGE_SIZE}"
+        ),
+        "list_directory": f"with {EMAILS} select count(*) as total_count, true as gapless, true as bounded from emails",
         "list_page": _emails("list_contains(labels, 'en')", f"{NEWEST} limit 5 offset 10"),
         "list_latest": _emails(tail=f"{NEWEST} limit 1"),
         "emails_normalised": f"""with {EMAILS}, records as (
@@ -378,6 +382,10 @@ select message_id, md5({readable("body")}) as text_md5 from texts""",
         "stats_display": f"""with {EMAILS}, summary as ({SUMMARY})
 select all_emails, round(days_timespan, 2) as years,
   round(avg_size / (1024 * 1024), 2) as avg_size_mb from summary""",
+        "stats_incremental": f"""with {EMAILS}, summary as ({SUMMARY})
+select (select count(*) from emails) as messages, avg_size, first_seen, last_seen, days_timespan, true as near
+from summary""",
+        "monthly_incremental": f"with {EMAILS}, {MONTHLY} select mmonth, sizes from monthly",
         "monthly_sizes": f"with {EMAILS}, {MONTHLY} select mmonth, sizes from monthly",
         "monthly_cumulative": f"with {EMAILS}, {MONTHLY} select dummy, date, count from cumulative",
         "monthly_display": f"""with {EMAILS}, {MONTHLY}
@@ -394,6 +402,14 @@ from emails group by subject order by cnt desc, subject nulls last limit 3""",
         "html_text": f"select page_id, {readable('html')} as text from pages",
         "header_date": """select o_orderkey,
   case when o_custkey % 5 = 4 then null else o_orderdate end as date from orders""",
+        "free_dates": """with dated as (
+  select o_orderkey, o_orderkey % 10 as kind, o_orderdate + to_seconds(o_orderkey % 86400) as moment from orders)
+select o_orderkey, case
+  when kind = 8 then null
+  when kind in (2, 5) then date_trunc('minute', moment)
+  when kind in (4, 9) then cast(date_trunc('day', moment) as timestamp)
+  when kind = 3 and day(moment) <= 12 then make_timestamp(year(moment), day(moment), month(moment), hour(moment), minute(moment), second(moment))
+  else moment end as date from dated""",
         "embed_documents": f"""select {ID} as message_id, 768 as width, cast(1.0 as double) as norm
 from documents d""",
         "semantic_topk": f"with {HITS} select message_id, round(dist, 4) as dist from hits",

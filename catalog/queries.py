@@ -9,7 +9,7 @@ from catalog import fixtures as fx
 from mailspark.functions.dates import header_timestamp
 from mailspark.functions.text import html_to_text
 from mailspark.operators import (
-    content, saved_searches, search, semantic, stats, text_index, threads, vector_index,
+    content, kept_stats, page_index, saved_searches, search, semantic, stats, text_index, threads, vector_index,
 )
 from mailspark.plans import ingest as loading
 from mailspark.plans import message_view, reports
@@ -45,6 +45,7 @@ INDEXED = {"from_email": "u1_%@src1", "subject": "tion%ing"}
 INDEX_TABLES, INDEX_BITS, INDEX_TURNED = 6, 4, 2
 RERANK_QUERY = "the of and que de la"
 ADDED_SINCE = "1998-01-01"
+DEEP_PAGE, PAGE_SIZE, PAGE_BLOCK = 20, 7, 64
 
 _REGISTERED = {}
 
@@ -223,6 +224,32 @@ def list_page(spark, sf_dir):
     return _shown(search.list_emails(fx.emails(spark, sf_dir), page, {"label": "en"}))
 
 
+def _page_index(spark, sf_dir):
+    return page_index.build_page_index(fx.emails(spark, sf_dir), shared_dir(spark, "pages"), block=PAGE_BLOCK)
+
+
+@registered
+def list_deep_page(spark, sf_dir):
+    """A page far down the list and the one after it, the second by the last row of the first."""
+    index = _page_index(spark, sf_dir)
+    page = index.page(PAGE_SIZE, (DEEP_PAGE - 1) * PAGE_SIZE)
+    order = [name.lstrip("-") for name in page_index.ORDER]
+    last = page.select(*order).tail(1)
+    after = page_index.page_after(fx.emails(spark, sf_dir), last[0].asDict(), PAGE_SIZE) if last else page.limit(0)
+    return _shown(page.unionByName(after))
+
+
+@registered
+def list_directory(spark, sf_dir):
+    """Rows counted by the directory, and whether its blocks follow each other without gaps or overlaps."""
+    blocks = _page_index(spark, sf_dir).directory
+    return blocks.agg(
+        F.sum("n").alias("total_count"),
+        (F.max(F.col("rows_before") + F.col("n")) == F.sum("n")).alias("gapless"),
+        (F.max("n") <= PAGE_BLOCK).alias("bounded"),
+    )
+
+
 @registered
 def list_latest(spark, sf_dir):
     return _shown(search.list_emails(fx.emails(spark, sf_dir), {"limit": 5}))
@@ -456,6 +483,29 @@ def top_subjects(spark, sf_dir):
     return stats.top_subjects(fx.emails(spark, sf_dir))
 
 
+def _kept_stats(spark, sf_dir):
+    """Statistics after two loads, the second of which was done twice."""
+    root, mail = shared_dir(spark, "tables"), fx.emails(spark, sf_dir)
+    odd = F.regexp_extract("mbox_file_id", "[0-9]+", 0).cast("long") % 2 == 1
+    for batch in (mail.filter(~odd), mail.filter(odd), mail.filter(odd)):
+        tables.write_stats(batch, batch.select("mbox_file_id").distinct(), root)
+    return tables.open_stats(spark, root)
+
+
+@registered
+def stats_incremental(spark, sf_dir):
+    """The summary from kept statistics; different ids are estimated, so they are compared with the exact number."""
+    found = kept_stats.summary(_kept_stats(spark, sf_dir))
+    exact = stats.summary(fx.emails(spark, sf_dir)).select("first_seen", F.col("all_emails").alias("exact"))
+    near = F.abs(F.col("all_emails") - F.col("exact")) <= 0.05 * F.col("exact")
+    return found.join(exact, "first_seen").withColumn("near", near).drop("all_emails", "exact")
+
+
+@registered
+def monthly_incremental(spark, sf_dir):
+    return kept_stats.monthly_sizes(_kept_stats(spark, sf_dir))
+
+
 # -- functions -------------------------------------------------------------------
 
 
@@ -471,6 +521,12 @@ def header_date(spark, sf_dir):
     return dated.select("o_orderkey", header_timestamp(F.col("header")).alias("date"))
 
 
+@registered
+def free_dates(spark, sf_dir):
+    dated = fx.freely_dated_orders(spark, sf_dir)
+    return dated.select("o_orderkey", header_timestamp(F.col("header")).alias("date"))
+
+
 # -- semantic search -------------------------------------------------------------
 
 

@@ -94,6 +94,8 @@ def ingest(
         tables.write_documents(texts, root, drop_previous)
         once = tables.first_seen(texts, ["mbox_file_id", "message_id"], ["email_start"])
         tables.write_embeddings(embed_documents(once, embedder), root, drop_previous)
-        tables.write_emails(email_rows(content), root, drop_previous)
+        emails = email_rows(content)
+        tables.write_emails(emails, root, drop_previous)
+        tables.write_stats(emails, batch, root, drop_previous)
         tables.write_loaded(batch, root, drop_previous)
     return tables.open_archive(spark, root)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from mailspark import schemas
+from mailspark.operators import kept_stats
 
 TABLES = {
     "emails": schemas.EMAILS,
@@ -117,6 +118,20 @@ def _by_file(spark, path):
     return spark.read.schema(StructType(fields)).parquet(path)
 
 
+def write_stats(emails, batch, root, drop_previous=False):
+    """Replace the partial statistics of the files of ``batch`` by those of their messages."""
+    rows = first_seen(emails, ["mbox_file_id", "email_start"], ["message_id"])
+    write_by_file(kept_stats.partial_stats(rows), batch, root, "stats", drop_previous)
+
+
+def open_stats(spark, root):
+    """The partial statistics of all files; none before the first load."""
+    path = os.path.join(root, "stats")
+    if not exists(spark, path):
+        return spark.createDataFrame([], kept_stats.SCHEMA)
+    return spark.read.schema(kept_stats.SCHEMA).parquet(path)
+
+
 def loaded_files(spark, root):
     """(mbox_file_id, path) of the files that are loaded in full, or None before the first."""
     path = os.path.join(root, "loaded_files")
