@@ -153,10 +153,11 @@ def look_up(index, incoming, buckets):
 
 def exact_groups(history_rows, new_rows):
     """Groups of equal digests over a history and new rows of (doc_id, digest); the history wins."""
-    history = written(grouped(history_rows), "history")
-    buckets = max(1, math.ceil(history.count() / BUCKET))
+    history, incoming = written(grouped(history_rows), "history"), written(grouped(new_rows), "incoming")
+    # a bucket holds at most about BUCKET digests of either side, however the ids are spread
+    buckets = max(1, math.ceil(max(history.count(), incoming.count()) / BUCKET))
     index = written(build_index(history, buckets), "index")
-    return look_up(index, grouped(new_rows), buckets)
+    return look_up(index, incoming, buckets)
 
 
 def dedup(docs):

@@ -66,6 +66,22 @@ def sha(data):
     return hashlib.sha256(data).hexdigest()
 
 
+def test_exact_dedup_buckets_hold_either_side(spark, monkeypatch):
+    """One small id beside all others, or none at all: the history is next to empty, buckets are bounded all the same."""
+    monkeypatch.setattr(exact_dedup, "BUCKET", 50)
+    used = []
+    look_up = exact_dedup.look_up
+    monkeypatch.setattr(exact_dedup, "look_up", lambda index, new, buckets: used.append(buckets) or look_up(index, new, buckets))
+    texts = [(n, f"text {n // 2}") for n in range(1000)]
+    far = spark.createDataFrame([(10**12 + n if n else 0, t) for n, t in texts], "doc_id long, text string")
+    found = exact_dedup.dedup(far).collect()
+    assert len(found) == 1000 and sum(r.kept for r in found) == 500
+    assert {(r.keep_id, r.group_size) for r in found} == {(10**12 + n if n else 0, 2) for n in range(0, 1000, 2)}
+    bare = spark.createDataFrame([(None, t) for _, t in texts], "doc_id long, text string")
+    assert all(r.kept and r.group_size == 2 for r in exact_dedup.dedup(bare).collect())
+    assert used == [10, 10]
+
+
 def test_exact_dedup(docs, none):
     found = rows_of(exact_dedup.dedup(docs))
     digests = {i: sha(re.sub(r"[\x20\x09-\x0D]+", " ", t or "").encode()) for i, t in TEXTS.items()}
