@@ -5,11 +5,12 @@ priority queue of nodes by their centroids' cosine, opens the best one, and so m
 order of promise. How many leaves are visited is calibrated: for some queries the true neighbours
 are found by brute force over all rows, and visits widen until the wanted share of them is
 reached. In a leaf, cosines are matrix products; what may belong to the answer is scored again row by
-row in double precision, so equal vectors tie exactly. Large leaves are split into blocks.
+row in double precision, so equal vectors tie exactly. Large leaves are split into blocks of rows, and the queries that
+visit a leaf into parts; each block meets each part in a task of its own, so a hot leaf is spread on both sides.
 
 Defined results: vectors that are null, zero, of another width than most, or hold null or non-finite
 components take no part. Ties go to the smaller id. With fewer rows than asked for all are given.
-Rows that repeat an id are candidates for others but never for their own id.
+Rows that repeat an id are candidates for others but never for their own id; blocks and parts are dealt by rows, not ids.
 """
 
 import heapq
@@ -21,14 +22,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailspark.llm.common import written
+from mailspark.llm.common import mixed, written
 
 #: The tree is fitted on at most so many rows (those of the least id hashes).
 SAMPLE = 40_000
 BRANCHES, LEVELS, LEAST_LEAF, FIT_ROUNDS = 16, 2, 100, 8
 #: Calibration: number of queries, and the share of their true neighbours to be reached.
 CALIBRATION, WANTED = 200, 0.97
-BLOCK, TIE, QUERIES_AT_ONCE = 20_000, 1e-9, 512
+BLOCK, PART, TIE, QUERIES_AT_ONCE = 20_000, 20_000, 1e-9, 512
 
 
 def usable(vectors):
@@ -129,6 +130,8 @@ def best_of(queries, query_ids, rows, row_ids, k):
                 yield start + i, hits[j], score[j]
 
 
+#: What a task holds: a block of a leaf's rows and a part of the queries that visit it.
+GROUP = ("leaf", "block", "part")
 RESULT = T.StructType().add("query_id", "long").add("vec_id", "long").add("score", "double")
 
 
@@ -188,40 +191,75 @@ def search(vectors, is_query, k=5):
     tree = Tree(sample)
     visits = calibrated_visits(tree, rows, rows.filter(is_query), k)
 
+    def lots(start, n):
+        """Even random numbers for the rows of a task, the same at every attempt."""
+        return (mixed(np.arange(start, start + n, dtype=np.uint64)) >> np.uint64(2)).astype(np.int64)
+
     def deal(batches):
+        start = 0
         for batch in batches:
-            leaf = tree.assign(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], ["vec_id", "embedding", "leaf"])
+            n = batch.num_rows
+            leaf = tree.assign(_matrix(batch.column(1))) if n else np.zeros(0, np.int64)
+            arrays = [*batch.columns, pa.array(leaf), pa.array(lots(start, n))]
+            yield pa.RecordBatch.from_arrays(arrays, ["vec_id", "embedding", "leaf", "lot"])
+            start += n
 
     fields = T.StructType().add("vec_id", "long").add("embedding", T.ArrayType(T.DoubleType())).add("leaf", "long")
-    dealt = written(rows.select("vec_id", "embedding").mapInArrow(deal, fields), "leaves")
+    dealt = written(rows.select("vec_id", "embedding").mapInArrow(deal, fields.add("lot", "long")), "leaves")
+    # a number for each leaf of the tree
     sizes = {r["leaf"]: r["n"] for r in dealt.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
 
+    def visited(batch):
+        """(row, leaf) of all visits of the queries of a batch."""
+        near = _unit(_matrix(batch.column(1))) @ tree.centroids.T if batch.num_rows else []
+        for i, row in enumerate(near):
+            seen = 0
+            for n, leaf in enumerate(tree.visits(row)):
+                if n >= visits and seen > k:
+                    break
+                if leaf in sizes:
+                    seen += sizes[leaf]
+                    yield i, leaf
+
+    def visits_by_leaf(batches):
+        for batch in batches:
+            leaves, counts = np.unique(np.array([leaf for _, leaf in visited(batch)], np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(counts.astype(np.int64))], ["leaf", "n"])
+
+    queries = rows.filter(is_query).select("vec_id", "embedding")
+    met = queries.mapInArrow(visits_by_leaf, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
+    parts = {r["leaf"]: -(-r["n"] // PART) for r in met.collect()}
+
     def probe(batches):
+        start = 0
         for batch in batches:
-            at, leaves, blocks = [], [], []
-            near = _unit(_matrix(batch.column(1))) @ tree.centroids.T if batch.num_rows else []
-            for i, row in enumerate(near):
-                seen = 0
-                for n, leaf in enumerate(tree.visits(row)):
-                    if n >= visits and seen > k:
-                        break
-                    seen += sizes.get(leaf, 0)
-                    for block in range(-(-sizes.get(leaf, 0) // BLOCK)):
-                        at.append(i)
-                        leaves.append(leaf)
-                        blocks.append(block)
-            taken = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [taken.column(0), taken.column(1), pa.array(leaves, pa.int64()), pa.array(blocks, pa.int64())],
-                ["vec_id", "embedding", "leaf", "block"],
-            )
-
-    asked = rows.filter(is_query).select("vec_id", "embedding").mapInArrow(probe, fields.add("block", "long"))
-    ways = {leaf: -(-n // BLOCK) for leaf, n in sizes.items() if n > BLOCK}
-    block = F.lit(0).cast("long")
-    for leaf, n in ways.items():
-        block = F.when(F.col("leaf") == leaf, F.pmod(F.xxhash64("vec_id"), F.lit(n))).otherwise(block)
+            own = lots(start, batch.num_rows)
+            start += batch.num_rows
+            asked = [
+                (i, leaf, block, own[i] % parts[leaf]) for i, leaf in visited(batch) for block in range(-(-sizes[leaf] // BLOCK))
+            ]
+            at, *places = np.array(asked, np.int64).reshape(-1, 4).T
+            taken = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*taken.columns, *map(pa.array, places)], ["vec_id", "embedding", *GROUP])
+
+    grouped = T.StructType(fields.fields[:2] + [T.StructField(name, T.LongType()) for name in GROUP])
+    asked = queries.mapInArrow(probe, grouped)
+    # how each leaf that is visited is split: a row for each leaf, so it is small enough to send
+    split = pa.table(
+        {
+            "leaf": pa.array(list(parts), pa.int64()),
+            "blocks": pa.array([-(-sizes[leaf] // BLOCK) for leaf in parts], pa.int64()),
+            "parts": pa.array(list(parts.values()), pa.int64()),
+        }
+    )
+    split = rows.sparkSession.createDataFrame(split)
+    spread = dealt.join(F.broadcast(split), "leaf").select(
+        "vec_id",
+        "embedding",
+        "leaf",
+        F.pmod("lot", "blocks").alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+    )
 
     def compare(queries, candidates):
         if not queries.num_rows or not candidates.num_rows:
@@ -230,5 +268,5 @@ def search(vectors, is_query, k=5):
         found = best_of(_matrix(queries["embedding"]), ids, _matrix(candidates["embedding"]), own, k)
         return pa.table(_result(found, ids, own))
 
-    pairs = asked.groupBy("leaf", "block").cogroup(dealt.withColumn("block", block).groupBy("leaf", "block"))
+    pairs = asked.groupBy(*GROUP).cogroup(spread.groupBy(*GROUP))
     return merged(pairs.applyInArrow(compare, RESULT), k)

@@ -356,6 +356,28 @@ def test_neighbours(spark):
     assert neighbours.search(frame.limit(0), "vec_id = 0").collect() == []
 
 
+def test_neighbours_of_a_hot_leaf_are_split_on_both_sides(spark, monkeypatch):
+    """A third of all vectors in one place and of one id, blocks and parts of a few rows: the same answer as by brute force."""
+    monkeypatch.setattr(neighbours, "BLOCK", 40)
+    monkeypatch.setattr(neighbours, "PART", 15)
+    pick = np.random.default_rng(6)
+    vectors = pick.normal(size=(900, 6))
+    vectors[:300] = [3.0, 1.0, 2.0, 0.5, -1.0, 4.0]
+    vectors[:300] += pick.normal(size=(300, 6)) * 1e-3
+    ids = [50 * i if i % 2 == 0 else i for i in range(900)]
+    ids[300:400] = [7] * 100
+    frame = spark.createDataFrame(
+        [(i, [float(x) for x in v], "x") for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>, leaf string"
+    ).repartition(4)
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in neighbours.search(frame, "vec_id % 50 = 0").collect()}
+    rows = neighbours.usable(frame)
+    asked = [i for i in range(900) if ids[i] % 50 == 0]
+    exact = neighbours.brute_force(rows, vectors[asked], np.array([ids[i] for i in asked]), 5).collect()
+    assert len(found) == len(exact) == 5 * len({ids[i] for i in asked})
+    right = sum(found[r.query_id, r["rank"]][0] == r.vec_id for r in exact)
+    assert right >= 0.95 * len(exact)
+
+
 @pytest.mark.parametrize("chunk", [2_000_000, 300])
 def test_suffix_dedup(docs, none, monkeypatch, chunk):
     monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
