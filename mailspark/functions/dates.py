@@ -55,6 +55,11 @@ def _free_form(column):
     """Zone-free UTC timestamp of a date in one of the shapes; NULL for others and for values out of range."""
     text = F.regexp_replace(F.trim(F.regexp_replace(column, r"\s*\([^)]*\)\s*$", "")), r"\s+", " ")
     text = F.regexp_replace(F.regexp_replace(text, WEEKDAY, ""), r"(?i) ?(?:GMT|UTC|UT)$", " +0000")
+    # bound once: as a plain expression it would be worked out anew for every field of every shape
+    return F.element_at(F.transform(F.array(text), _shaped), 1)
+
+
+def _shaped(text):
     found = []
     for name, (shape, year_at, month_at, day_at, clock_at, zone_at) in SHAPES.items():
 
