@@ -1,7 +1,10 @@
 import base64
 import email
 import email.policy
+import gc
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -201,3 +204,34 @@ def test_dates_out_of_the_nanosecond_range(spark):
     found = {r["text"]: r["at"] for r in rows.collect()}
     assert found["Mon, 1 Jan 1500 12:00:00 EST"] == "1500-01-01 17:00:00"
     assert found["no date"] is None and found[None] is None
+
+
+def test_messages_are_parsed_in_portions_of_bounded_size():
+    raws = [b"Message-ID: <%d@x>\nSubject: s\n\n" % n + b"line of text\n" * size for n, size in enumerate([800] * 1500 + [900_000, 0, 800])]
+    raws[3] = None
+    columns = [["f"] * len(raws), list(range(len(raws))), list(range(1, len(raws) + 1)), raws]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()))],
+        ["mbox_file_id", "email_start", "email_end", "raw"],
+    )
+    found = list(mime.parts_of([batch, batch.slice(0, 0)]))
+    assert len(found) > 3 and max(len(b) * 10_000 for b in found) < 2 * mime.PORTION
+    rows = [r for b in found for r in b.to_pylist()]
+    assert [r["email_start"] for r in rows] == columns[1]
+    assert [r["message_id"] for r in rows] == [None if n == 3 else f"<{n}@x>" for n in range(len(raws))]
+    assert [len(r["parts"][0]["content"]) for r in rows[-3:]] == [13 * 900_000, 0, 13 * 800]
+    assert list(mime._portions(batch.slice(0, 0))) == []
+
+
+def test_long_headers_are_not_remembered():
+    gc.collect()
+    tracemalloc.start()
+    policy = mime._policy()
+    for n in range(600):
+        subject = base64.b64encode(f"{n} of a line of words ".encode() * 40)
+        row = mime._message(b"Subject: =?utf-8?B?" + subject + b"?=\n\nx\n", policy)
+        assert row["subject"].startswith(f"{n} of a line")
+    gc.collect()
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 4 << 20
