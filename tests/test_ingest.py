@@ -161,3 +161,16 @@ def test_append_new_keeps_existing_rows(sample, emails_of):
         {"message_id": "<4@x>", "email_start": 300},
     )
     assert sorted(ids(tables.append_new(sample, batch))) == ["<1@x>", "<2@x>", "<3@x>", "<4@x>"]
+
+
+def test_dates_are_read_from_headers_once(spark, folder, monkeypatch):
+    plans, write = [], tables.write_stats
+
+    def noted(emails, *rest):
+        plans.append(emails._jdf.queryExecution().executedPlan().toString())
+        write(emails, *rest)
+
+    monkeypatch.setattr(tables, "write_stats", noted)
+    ingest(spark, str(folder / "mail"), str(folder / "tables"))
+    assert len(plans) == 1 and "Python" not in plans[0]
+    assert tables.open_stats(spark, str(folder / "tables")).agg(F.sum("n")).first()[0] == 3
